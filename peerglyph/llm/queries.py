@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import htmltext, quality, simhash, urlfilter, warc
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,46 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op5_warc"] = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages),
+d as (select *, min(page_id) over (partition by h) as low,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(h, 1 + 10 * (i // 8), 10) as bigint) >> (35 - 5 * (i % 8))) & 31)::int, 1) for i in range(32)], '') as b
+      from p)
+select page_id, cast(n as bigint) as payload_bytes, b as payload_digest,
+       case when page_id = low then 'response' else 'revisit' end as record_type,
+       case when page_id <> low then low end as refers_to
+from d
+"""
+
+#: Fixed rules of the query: verdict, host, path.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
+ORACLE_SQL["op8_url_filters"] = f"""
+with rules(v, h, p) as (values {", ".join(map(str, URL_RULES))}),
+u as (select page_id, row_number() over () as k,
+      case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+s as (select page_id, k,
+      translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+m as (select s.*, r.h || r.p as rule, r.v, row_number() over (partition by k order by length(r.h || r.p) desc nulls last, r.v desc) as o
+      from s left join rules r on (host = r.h or ends_with(host, '.' || r.h)) and starts_with(path, r.p))
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where o = 1
+"""
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
