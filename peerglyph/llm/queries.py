@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, quality, simhash, urlfilter, warc
+from . import htmltext, quality, simhash, substrings, urlfilter, warc
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where o
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.measure(table(spark, sf_dir, "documents"))
