@@ -88,18 +88,24 @@ def runs(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE) -> t
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span; spans come in order of their starts."""
-    out = np.empty(len(starts), np.uint64)
+    return nested_hashes(buf, starts, [ends])[0]
+
+
+def nested_hashes(buf: np.ndarray, starts: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of several spans from each start, out of one pass over the bytes; the first ends are the farthest."""
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
     at = 0
     while at < len(starts):
         low = int(starts[at])
         to = max(at + 1, int(np.searchsorted(starts, low + _SPAN)))
-        s, e = starts[at:to] - low, ends[at:to] - low
-        top = int(e.max())
+        s = starts[at:to] - low
+        top = int(ends[0][at:to].max()) - low
         total = np.zeros(top + 1, np.uint64)
         np.cumsum(_TABLE[buf[low : low + top]] * powers(0, top), out=total[1:])
-        out[at:to] = (total[e] - total[s]) * powers(0, top + 1, True)[s]
+        for hashes, stops in zip(out, ends, strict=True):
+            hashes[at:to] = (total[stops[at:to] - low] - total[s]) * powers(0, top + 1, True)[s]
         at = to
-    return mix(out ^ (ends - starts).astype(np.uint64))
+    return [mix(h ^ (stops - starts).astype(np.uint64)) for h, stops in zip(out, ends, strict=True)]
 
 
 def window_hashes(words: np.ndarray, size: int, which: int = 1) -> np.ndarray:
