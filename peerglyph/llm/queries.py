@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, quality, simhash, substrings, toxicity, urlfilter, warc
+from . import decontaminate, htmltext, pieces, quality, simhash, substrings, tokenfiles, toxicity, urlfilter, warc
 
+#: A public BPE model of SentencePiece; executors get its pieces from the driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -89,3 +91,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model, merges=True))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model, merges=True))
