@@ -121,9 +121,8 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         fp = np.concatenate([kept_fp, np.asarray(batch.column("fp")).view(np.uint64)])
         if not len(cell):
             continue
-        cut = int(np.searchsorted(cell != cell[-1], False)) if cell[0] == cell[-1] else int(np.flatnonzero(cell != cell[-1])[-1]) + 1
-        if cell[0] == cell[-1]:
-            cut = 0  # the last cell may go on in the next batch
+        others = np.flatnonzero(cell != cell[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0  # the last cell may go on in the next batch
         verify(cell[:cut], fp[:cut])
         kept_cell, kept_fp = cell[cut:], fp[cut:]
     verify(kept_cell, kept_fp)
@@ -187,16 +186,25 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataF
         rooted = classes.join(connect(found), classes.fp == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
         smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
         named = rooted.join(smallest, "root").select("fp", "component_id")
-    drop(spark, path) if found.isEmpty() else None
+    drop(spark, path)
     return marked.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; of repeated rows of that id, one stays.
+    """``docs`` without the rows whose doc_id doesn't name their component; all columns as they were.
 
-    Rows without a doc_id can't be named and stay as they are.
+    Of rows with the same doc_id and text one stays. Rows without a doc_id can't be named and all stay.
+    What is dropped is a list of ids: Spark broadcasts it if its size is under the broadcast threshold,
+    and else shuffles the texts once.
     """
-    found = components(docs.where("doc_id is not null"), shingle, radius)
-    leaders = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(leaders, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    spark = docs.sparkSession
+    named = docs.where("doc_id is not null")
+    found, _ = materialise(components(named, shingle, radius).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("leads")), "leaders")
+    by_id = found.groupBy(F.col("doc_id").alias("d_id")).agg(F.max("leads").alias("leads"), F.count("*").alias("times"))
+    dropped, _ = materialise(by_id.where(~F.col("leads")).select("d_id"), "dropped")
+    again, _ = materialise(by_id.where("leads and times > 1").select("d_id"), "again")
+    out = docs.join(dropped, docs.doc_id == dropped.d_id, "left_anti")
+    if again.isEmpty():
+        return out
+    once = out.join(again, out.doc_id == again.d_id, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, out.doc_id == again.d_id, "left_anti").unionByName(once)
