@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .textkit import map_text
 
 MARK = "▁"
-MOST_REMEMBERED, LONGEST_REMEMBERED = 600_000, 64
+MOST_REMEMBERED, LONGEST_REMEMBERED, MOST_NEIGHBOURS = 250_000, 64, 300_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -66,6 +66,14 @@ class Vocabulary:
         crossing = any(MARK in text.lstrip(MARK) for text in self.ids)
         inside = f"[^{alone}]" if crossing else f"[^{MARK}{alone}]"
         self.segments = (f"[{alone}]|" if alone else "") + (f"{inside}+" if crossing else f"{MARK}*{inside}+|{MARK}+")
+        # where no piece holds a sign next to another character, sides of a sign are boundaries too; texts
+        # with one of the few characters that do stand next to a sign in some piece aren't cut there
+        signs = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        touching = {pair for text in self.ids for pair in zip(text, text[1:], strict=False)} if not crossing else set()
+        beside = {a if b in signs else b for a, b in touching if (a in signs) != (b in signs)} - {MARK}
+        self.beside = "" if crossing else "[" + "".join(map(re.escape, sorted(beside))) + "]" if beside else ""
+        sign = "".join(map(re.escape, sorted(signs)))
+        self.fine_segments = self.segments if crossing else (f"[{alone}]|" if alone else "") + f"{MARK}*[{sign}]+|{MARK}*[^{MARK}{alone}{sign}]+|{MARK}+"
         self._apart: dict[int, bool] = {}
         self._trie: dict | None = None
 
@@ -88,6 +96,8 @@ class Vocabulary:
         """Whether two pieces stay as they are when their joined text is merged; ``left`` is -1 for none."""
         key = left * len(self.scores) + right
         if (known := self._apart.get(key)) is None:
+            if len(self._apart) >= MOST_NEIGHBOURS:
+                self._apart.clear()
             want = [self.texts[right]] if left < 0 else [self.texts[left], self.texts[right]]
             known = self._apart[key] = merged("".join(want), self) == want
         return known
@@ -198,8 +208,43 @@ def commits(text: str, vocabulary: Vocabulary) -> Iterator[list[tuple[int, int]]
         yield trace(n, base)
 
 
+def settle(text: str, vocabulary: Vocabulary) -> list[int]:
+    """``commits`` of a BPE model for a text that is no longer than the window, all at once."""
+    trie, apart, known, size, n = vocabulary.trie, vocabulary.apart, vocabulary._apart.get, len(vocabulary), len(text)
+    last: list[int | None] = [None] * (n + 1)  # the piece that the way to a place ends with
+    begin = [0] * (n + 1)
+    last[0] = -1
+    for at in range(n):
+        left = last[at]
+        if left is None:
+            continue
+        node = trie.get(text[at])
+        if (node is None or "" not in node) and last[at + 1] is None:
+            last[at + 1], begin[at + 1] = -1, at
+        end, row = at, left * size
+        while node is not None:
+            end += 1
+            if last[end] is None and (piece := node.get("")) is not None and (apart(left, piece) if (ok := known(row + piece)) is None else ok):
+                last[end], begin[end] = piece, at
+            if end == n:
+                break
+            node = node.get(text[end])
+    out, at = [], n
+    while at:
+        out.append(last[at] if last[at] >= 0 else -at)
+        at = begin[at]
+    return out[::-1]
+
+
 def encode_segment(text: str, vocabulary: Vocabulary) -> list[int]:
     out: list[int] = []
+    if vocabulary.merges and len(text) <= vocabulary.longest and MARK * 2 not in text:
+        for piece in settle(text, vocabulary):  # an unknown character is given by its end, negative
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [vocabulary.unknown] if vocabulary.bytes is None else [vocabulary.bytes[b] for b in text[-piece - 1].encode("utf-8", "surrogatepass")]
+        return out
     if vocabulary.merges and MARK * 2 in text:
         ways: Iterator[list[tuple[int, int]]] = iter([_placed(merged(text, vocabulary), vocabulary)])
     else:
@@ -226,7 +271,8 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
-        self.find = re.compile(vocabulary.segments, re.S).findall
+        self.whole, self.fine = (re.compile(x, re.S).findall for x in (vocabulary.segments, vocabulary.fine_segments))
+        self.beside = re.compile(vocabulary.beside).search if vocabulary.beside else lambda _: False
 
     def __missing__(self, segment: str) -> bytes:
         ids = np.array(encode_segment(segment, self.vocabulary), self.kind).tobytes()
@@ -240,7 +286,8 @@ class Encoder(dict):
         """Ids of a text, as little-endian numbers of the encoder's kind."""
         if not text:
             return b""
-        return b"".join(map(self.__getitem__, self.find(MARK + text.replace(" ", MARK))))
+        find = self.whole if self.beside(text) else self.fine
+        return b"".join(map(self.__getitem__, find(MARK + text.replace(" ", MARK))))
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that ids stand for, without the mark that was put before it."""
