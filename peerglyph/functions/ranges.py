@@ -114,14 +114,14 @@ def range_table(spark: SparkSession, ranges: tuple[tuple[int, int, str], ...]) -
 
 
 def range_join(points: DataFrame, ranges: DataFrame, bucket_bits: int = 8) -> DataFrame:
-    """Every (cp row, range row) with lo <= cp <= hi.
+    """Every (cp row, range row) with lo <= cp <= hi, without the range's ends.
 
     Both sides are cut into buckets of 2**bucket_bits code points and joined by equality, so the join
     shuffles or broadcasts as sizes ask and never compares all rows with all ranges.
     """
     width = 1 << bucket_bits
-    cut = ranges.withColumn("_bucket", F.explode(F.sequence((F.col("lo") / width).cast("int"), (F.col("hi") / width).cast("int"))))
-    return points.withColumn("_bucket", (F.col("cp") / width).cast("int")).join(cut, "_bucket").where("cp between lo and hi").drop("_bucket")
+    cut = ranges.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).withColumn("_bucket", F.explode(F.sequence((F.col("_lo") / width).cast("int"), (F.col("_hi") / width).cast("int"))))
+    return points.withColumn("_bucket", (F.col("cp") / width).cast("int")).join(cut, "_bucket").where("cp between _lo and _hi").drop("_bucket", "_lo", "_hi")
 
 
 def first_range(points: DataFrame, ranges: DataFrame, key: str = "cp") -> DataFrame:

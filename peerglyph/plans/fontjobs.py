@@ -1,0 +1,149 @@
+"""Jobs on fonts, font look-ups and recorded experiments, and their queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels
+from ..operators import candidates as cand
+from ..operators import experiments as exp
+from ..operators import fontquery as fq
+from ..operators import summaries as summ
+from ..sources import fonts as fnt
+from . import scorejobs as score
+from .catalog import query, table
+
+# A small inventory: private and ornament families, a collection of two families, bold files, scripts.
+INVENTORY = (
+    ("Arial", "/System/Library/Fonts/Supplemental/Arial.ttf"), ("Arial", "/System/Library/Fonts/Supplemental/Arial Bold.ttf"), ("Arial", "/home/x/Arial.ttf"), (".Private", "/System/Library/Fonts/P.ttf"),
+    ("Wingdings", "/Library/Fonts/Wingdings.ttf"), ("PT Sans", "/Library/Fonts/PTSans.ttc"), ("PT Sans Narrow", "/Library/Fonts/PTSans.ttc"), ("Tamil MN", "/System/Library/Fonts/TamilMN.ttf"),
+    ("STIXGeneral", "/Library/Fonts/STIX.otf"), ("Noto Sans Lao", "/Library/Fonts/NotoSansLao-Regular.ttf"), ("Bold Only", "/Library/Fonts/Only Bold.ttf"), ("Apple Symbols", "/System/Library/Fonts/Apple Symbols.ttf"),
+)
+NOTO_FILES = ("NotoSansTifinagh-Regular.otf", "NotoSansTifinagh-Bold.otf", "NotoSansArmenian.ttc", "NotoSansLao-Regular.ttf", "NotoSerif.ttf", "readme.txt")
+
+
+def inventory(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(INVENTORY), "family string, path string")
+
+
+def noto_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, f, f"/fonts/{f}") for k, f in enumerate(NOTO_FILES)], "ord int, filename string, path string")
+
+
+FAMILIES = "with f(family, category) as (values ('Arial', 'standard'), ('Tamil MN', 'script'), ('STIXGeneral', 'math'), ('Noto Sans Lao', 'noto'), ('Bold Only', 'standard'), ('PT Sans', 'standard'), ('Apple Symbols', 'symbol'))"
+
+
+@query("select * from (values ('Arial', '/System/Library/Fonts/Supplemental/Arial.ttf', 'standard'), ('Tamil MN', '/System/Library/Fonts/TamilMN.ttf', 'script'), ('STIXGeneral', '/Library/Fonts/STIX.otf', 'math'), ('Noto Sans Lao', '/Library/Fonts/NotoSansLao-Regular.ttf', 'noto'), ('Bold Only', '/Library/Fonts/Only Bold.ttf', 'standard'), ('PT Sans', '/Library/Fonts/PTSans.ttc', 'standard'), ('Apple Symbols', '/System/Library/Fonts/Apple Symbols.ttf', 'symbol')) t(family, path, category)")
+def N05_system_fonts(spark, sf_dir):
+    return fnt.system_fonts(inventory(spark))
+
+
+@query("select * from (values ('Noto Sans Tifinagh', '/fonts/NotoSansTifinagh-Regular.otf', 'noto'), ('Noto Sans Armenian', '/fonts/NotoSansArmenian.ttc', 'noto'), ('Noto Sans Lao', '/fonts/NotoSansLao-Regular.ttf', 'noto')) t(family, path, category)")
+def S15_noto_fonts(spark, sf_dir):
+    return fnt.noto_fonts(noto_files(spark))
+
+
+@query(FAMILIES + " select family, category from f union all select * from (values ('Noto Sans Tifinagh', 'noto'), ('Noto Sans Armenian', 'noto'))")
+def J15_merged_fonts(spark, sf_dir):
+    return fnt.merge_fonts(fnt.system_fonts(inventory(spark)), fnt.noto_fonts(noto_files(spark))).select("family", "category")
+
+
+@query(FAMILIES + " select category, count(*) as n from f group by category")
+def A24_category_counts(spark, sf_dir):
+    return cand.category_counts(fnt.system_fonts(inventory(spark)))
+
+
+@query(FAMILIES + " select family from f where category in ('standard', 'math')")
+def W05_usable_fonts(spark, sf_dir):
+    return cand.usable_fonts(fnt.system_fonts(inventory(spark)).withColumn("available", F.lit(True)), ("standard", "math")).select("family")
+
+
+@query("select s_suppkey, regexp_replace(s_name, '\\s+', '-', 'g') as safe, rpad(s_name, 30, ' ') as padded, lpad(s_name, 30, ' ') as right_aligned, contains(lower(s_name), 'er#0') as matches from supplier")
+def F13_names(spark, sf_dir):
+    n = F.col("s_name")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", labels.safe_name(n).alias("safe"), labels.pad_right(n, 30).alias("padded"), labels.pad_left(n, 30).alias("right_aligned"), labels.font_matches(n, "ER#0").alias("matches"))
+
+
+# Look-ups; fonts are named F0, F1, ... in these
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("F"), c.cast("string"))
+    rows = score._job1(spark, sf_dir).withColumn("ord", F.col("source_font") * 1000 + F.col("target_font"))
+    return rows.withColumn("source_font", name(F.col("source_font"))).withColumn("target_font", name(F.col("target_font")))
+
+
+NAMED = ", n1 as (select source, target, 'F' || source_font as source_font, 'F' || target_font as target_font, ssim, phash, source_font * 1000 + target_font as ord from m1 where ssim is not null)"
+HIT = ", {0} as (select * from (select *, row_number() over (partition by source, target order by ssim desc, ord) as o from n1 where contains(lower(source_font), '{1}') or contains(lower(target_font), '{1}')) where o = 1 and ssim >= 0.02)"
+
+
+def _query(facts: DataFrame, font: str) -> DataFrame:
+    return fq.query_font({"tr39": facts.where("source < 35"), "novel": facts.where("source >= 35")}, font, 0.02)
+
+
+@query(score.BASE + NAMED + HIT.format("h", "f1") + " select source, target, round(ssim, 6) as ssim, phash, source_font, target_font, case when source < 35 then 'tr39' else 'novel' end as origin from h")
+def N01_query_font(spark, sf_dir):
+    return _query(_facts(spark, sf_dir), "f1").select("source", "target", F.round("ssim", 6).alias("ssim"), "phash", "source_font", "target_font", "origin")
+
+
+@query(score.BASE + NAMED + HIT.format("a", "f1") + HIT.format("b", "f2") + " select coalesce(a.source, b.source) as source, coalesce(a.target, b.target) as target, round(a.ssim, 6) as ssim_a, round(b.ssim, 6) as ssim_b, round(a.ssim - b.ssim, 6) as delta, round(coalesce(abs(a.ssim - b.ssim), a.ssim, b.ssim), 6) as abs_delta, case when b.ssim is null then 'F1 only' when a.ssim is null then 'F2 only' when a.ssim - b.ssim > 0.01 then 'more confusable in F1' when a.ssim - b.ssim < -0.01 then 'more confusable in F2' else '' end as note from a full join b on a.source = b.source and a.target = b.target")
+def J14_compare_fonts(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    return score._round(fq.compare_fonts(_query(facts, "f1"), _query(facts, "f2"), "F1", "F2"), "ssim_a", "ssim_b", "delta", "abs_delta")
+
+
+@query(score.BASE + " select distinct 'F' || f as font from (select source_font as f from m1 union select target_font from m1)")
+def U03_list_fonts(spark, sf_dir):
+    return fq.list_fonts(_facts(spark, sf_dir))
+
+
+@query(score.BASE + ", b as (select * from (select *, row_number() over (partition by source, target order by ssim desc, source_font * 1000 + target_font) as o from m1 where ssim is not null) where o = 1) select source, target, 'F' || source_font as source_font, 'F' || target_font as target_font, round(ssim, 6) as ssim from b")
+def N04_best_comparison(spark, sf_dir):
+    return summ.best_comparison(_facts(spark, sf_dir)).select("source", "target", "source_font", "target_font", F.round("ssim", 6).alias("ssim"))
+
+
+# Recorded experiments; conversations stand for runs, roles for models
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("role").alias("model"), F.concat(F.lit("v"), (F.col("conv_id") % 3).cast("string")).alias("variant"), (F.col("turn") + 1).cast("int").alias("run"), "text").where("text is not null")
+
+
+RUNS = "with runs as (select role as model, 'v' || (conv_id % 3) as variant, (turn + 1)::int as run, text from conversations where text is not null)"
+
+
+@query(RUNS + " select model, variant, max(run) + 1 as next_run from runs group by all")
+def L03_next_run(spark, sf_dir):
+    return exp.next_run(_runs(spark, sf_dir))
+
+
+@query(RUNS + " select distinct model, variant, run from runs r where contains(model, 's') and not exists (select 1 from runs s where s.run % 2 = 0 and s.model = r.model and s.variant = r.variant and s.run = r.run)")
+def J17_unscored(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return exp.unscored(runs, runs.where("run % 2 = 0"), "s").select("model", "variant", "run").distinct()
+
+
+@query("select m as model, v as variant, r::int as run from (values ('a'), ('b')) t(m), (values ('x'), ('y')) u(v), range(1, 4) w(r)")
+def G06_run_plan(spark, sf_dir):
+    models, variants = spark.sql("select * from values ('a'), ('b'), ('a') as t(model)"), spark.sql("select * from values ('x'), ('y'), ('x') as t(variant)")
+    return exp.plan(models, variants, 3)
+
+
+METRICS = RUNS + " select model, variant, count(*) as runs, round(avg((length(text) % 9) / 8.0), 6) as clause_recall, round(avg((run % 5) / 8.0), 6) as trap_detection, round(avg((run % 2 = 0)::int), 6) as anomaly_rate, round(avg(run % 3), 6) as omissions, round(avg(length(text)), 6) as length from runs group by all"
+
+
+@query(METRICS)
+def A27_experiment_metrics(spark, sf_dir):
+    from ..sources.schemas import CLAUSES, TRAPS
+
+    flags = lambda names, n: F.struct(*((F.lit(k) < n).alias(name) for k, name in enumerate(names)))
+    scores = _runs(spark, sf_dir).select("model", "variant", "run", flags(CLAUSES, F.length("text") % 9).alias("clauseRecall"), flags(TRAPS, F.col("run") % 5).alias("trapDetection"), F.array_repeat(F.lit("x"), (F.col("run") % 3).cast("int")).alias("silentOmissions"), (F.col("run") % 2 == 0).alias("detectedAnomalies"), F.length("text").alias("responseLength"))
+    return score._round(exp.metrics(scores), "clause_recall", "trap_detection", "anomaly_rate", "omissions", "length")
+
+
+@query("with c as (select doc_id, unnest(string_split(text, '')) as ch from documents) select 'e' as original, 'é' as substitute, count(*) as n from c where ch = 'e' having count(*) > 0 union all select 'o', '0', count(*) from c where ch = 'o' having count(*) > 0")
+def C26_substitutions(spark, sf_dir):
+    # each document with two letters replaced stands for a changed variant of itself
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), "text")
+    return exp.substitutions(docs, docs.withColumn("text", F.translate("text", "eo", "é0")))

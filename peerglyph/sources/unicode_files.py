@@ -38,7 +38,7 @@ def expand(ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
 
 def _ranged(lines: DataFrame) -> tuple[DataFrame, Column]:
     """Lines "LO[..HI] ; field ; ..." without comments: lo, hi and the fields."""
-    body = F.trim(F.split("value", "#")[0])
+    body = F.regexp_replace(F.split("value", "#")[0], r"^\s+|\s+$", "")
     f = F.split(body, r"\s*;\s*")
     edges = F.split(f[0], r"\.\.")
     low = from_hex(F.trim(edges[0]))
@@ -81,9 +81,10 @@ def parse_confusables(lines: DataFrame) -> DataFrame:
 
     Columns: cp, target (lower case), reason.
     """
-    f = F.split(F.trim("value"), ";")
-    hexes = F.split(F.trim(f[1]), r"\s+")
-    rows = lines.where(~F.trim("value").startswith("#") & (F.size(f) > 1)).select(from_hex(F.trim(f[0])).alias("cp"), hexes.alias("hexes"), from_hex(hexes[0]).alias("target_cp")).where("cp is not null")
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    f = F.split(line, r"\s*;\s*")
+    hexes = F.split(f[1], r"\s+")
+    rows = lines.where(~line.startswith("#") & (F.size(f) > 1)).select(from_hex(f[0]).alias("cp"), hexes.alias("hexes"), from_hex(hexes[0]).alias("target_cp")).where("cp is not null")
     # single-character targets that fold to ASCII are ASCII themselves, but for the Kelvin sign
     target = F.when(F.col("target_cp") == 0x212A, "k").when(is_basic_latin(F.col("target_cp")), F.lower(F.chr("target_cp")))
     reason = F.when(is_basic_latin(F.col("cp")), "basic latin source").when(F.size("hexes") != 1, "several target characters").when(target.isNull(), "target not a-z or 0-9")
