@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import column_bytes, mix, row_of, runs, span_hashes, window_hashes, window_starts
+from .textkit import column_bytes, mix, row_of, runs, small_batches, span_hashes, window_hashes, window_starts
 
 WINDOW = 35
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 _BLOB = "owner int, bucket int, n int, width int, body binary"
 
 
@@ -219,7 +219,7 @@ def _run(docs: DataFrame, finish: Callable[[Texts, np.ndarray, np.ndarray], pa.T
     ``docs`` has t_id, t_text and the columns ``extra``. One plan holds the three passes over the buckets,
     so that Spark shuffles the texts once and reads that shuffle again.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("t_text")).alias("n")).first().n or 0
     buckets = max(1, -(-size // bucket_bytes))
     #: enough bits that a chance meeting of a window and a block is rare; such meetings cost time only

@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2 << 20  # text that is worked on at once
+CHUNK_BYTES = 1 << 20  # text that is worked on at once
+BATCH_ROWS = 1024
 _SPAN = 1 << 18  # bytes hashed at once
 
 SPACE = np.zeros(256, bool)
@@ -156,6 +157,13 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send at most ``BATCH_ROWS`` rows at once to Python; texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_text(df: DataFrame, column: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``make`` of every slice of the frame; rows stay where they are."""
 
@@ -164,4 +172,5 @@ def map_text(df: DataFrame, column: str, make: Callable[[pa.RecordBatch], pa.Rec
             for part in chunks(batch, column):
                 yield make(part)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(work, schema)
