@@ -12,7 +12,7 @@ RUN_KEY = ["model", "variant", "run"]
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: name and text."""
-    return spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
