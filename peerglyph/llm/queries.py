@@ -10,6 +10,8 @@ from . import decontaminate, htmltext, pieces, quality, simhash, substrings, tok
 
 #: A public BPE model of SentencePiece; executors get its pieces from the driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public byte-level BPE for many languages, and its free id.
+RANKS, RANKS_END = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 50256
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -99,5 +101,5 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
 
 
 @query
-def op7_token_counts(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
-    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model, merges=True))
+def op7_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS, end: int = RANKS_END) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenfiles.Tokenizer.load(ranks, end))

@@ -17,21 +17,55 @@ table gives no documents; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import Vocabulary, _encoder, share
 from .storage import new_path
 from .textkit import map_text
 
 HEADER, DIGIT_BITS, RAISED = 5, 14, 259
 NO_ID = RAISED + (1 << DIGIT_BITS)  # each header token of a document without an id
-END = 2
 BLOCK_TOKENS = 1 << 18
+MOST_PIECES = 1 << 20
+
+
+class Tokenizer:
+    """A byte-level BPE by its ranks; ``end`` is an id that no text is given. Plain values, to be sent to tasks."""
+
+    #: Fixed value: how this family of vocabularies splits a text before merging.
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+    def __init__(self, ranks: dict[bytes, int], end: int, pattern: str = PATTERN):
+        if len(ranks) > MOST_PIECES:
+            raise ValueError(f"a vocabulary of {len(ranks)} pieces is more than is sent to every executor")
+        if end <= NO_ID:
+            raise ValueError("the end of a document has to be told from header tokens")
+        self.ranks, self.end, self.pattern = ranks, end, pattern
+        self.kind = np.dtype(np.uint16 if max(len(ranks), end) < 1 << 16 else np.uint32)
+
+    @classmethod
+    def load(cls, path: str, end: int) -> Tokenizer:
+        with open(path, "rb") as lines:
+            return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}, end)
+
+    def encoding(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("tokenfiles", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+
+
+_encodings: dict[int, tiktoken.Encoding] = {}  # of this worker process: that of the tokenizer in use
+
+
+def _encoding(tokenizer: Tokenizer) -> tiktoken.Encoding:
+    if id(tokenizer) not in _encodings:
+        _encodings.clear()
+        _encodings[id(tokenizer)] = tokenizer.encoding()
+    return _encodings[id(tokenizer)]
 
 
 def header(doc_id: int | None) -> np.ndarray:
@@ -40,25 +74,19 @@ def header(doc_id: int | None) -> np.ndarray:
     return np.array([RAISED + ((doc_id % 2**64) >> (DIGIT_BITS * k)) % (1 << DIGIT_BITS) for k in range(HEADER)])
 
 
-def write(docs: DataFrame, path: str, vocabulary: Vocabulary, end: int = END, documents_per_file: int = 4096) -> np.dtype:
-    """Encode the texts of ``docs`` into token files under ``path``; the type of their tokens.
-
-    ``end`` must be an id that no text is given, below ``RAISED``, and its bytes ASCII.
-    """
-    kind = np.dtype(np.uint16 if max(len(vocabulary), NO_ID + 1) <= 1 << 16 else np.uint32)
-    separator = np.array([end], kind).tobytes()
-    if end >= RAISED or not separator.isascii():
-        raise ValueError("the separator has to be a small id of ASCII bytes")
-    shared = share(docs.sparkSession, vocabulary)
+def write(docs: DataFrame, path: str, tokenizer: Tokenizer, documents_per_file: int = 2048) -> None:
+    """Encode the texts of ``docs`` into token files under ``path``."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    kind = tokenizer.kind
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _encoder(shared.value)
-        rows = [header(i).astype(kind).tobytes() + (x if encoder.kind == kind else np.frombuffer(x, encoder.kind).astype(kind).tobytes()) for i, x in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, batch.column("text").to_pylist()), strict=True)]
+        encode = _encoding(shared.value).encode_ordinary
+        rows = [np.concatenate([header(i), np.array(encode(t or ""), np.int64)]).astype(kind).tobytes() for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
     coded = map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", work, "value binary")
-    coded.select(F.col("value").cast("string")).write.option("lineSep", separator.decode()).option("maxRecordsPerFile", documents_per_file).text(path)
-    return kind
+    separator = np.array([tokenizer.end], kind).tobytes().decode("latin-1")  # Latin-1 has a character for each byte
+    coded.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", documents_per_file).text(path)
 
 
 def _ids(tokens: np.ndarray, starts: np.ndarray) -> list[int | None]:
@@ -73,9 +101,9 @@ def _ids(tokens: np.ndarray, starts: np.ndarray) -> list[int | None]:
 SCAN = "file string, block long, separated boolean, head long, tail long, doc_id long, named boolean, start long, n long"
 
 
-def scan(spark: SparkSession, path: str, kind: np.dtype, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def scan(spark: SparkSession, path: str, tokenizer: Tokenizer, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks with what they hold: a row for each document inside a block, and one for the block's edges."""
-    kind = np.dtype(kind)
+    kind, end = tokenizer.kind, tokenizer.end
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,9 +137,9 @@ def scan(spark: SparkSession, path: str, kind: np.dtype, end: int = END, block_t
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(blocks, SCAN)
 
 
-def counts(spark: SparkSession, path: str, kind: np.dtype, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def counts(spark: SparkSession, path: str, tokenizer: Tokenizer, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Every document of the files: file, start (in tokens), doc_id, n_tokens, and whether its end was found."""
-    found = scan(spark, path, kind, end, block_tokens)
+    found = scan(spark, path, tokenizer, block_tokens)
     inside = found.where("separated is null").select("file", "start", "doc_id", F.col("n").alias("n_tokens"), F.lit(True).alias("complete"))
     edges = found.where("separated is not null")
     # the prefix scan: an open document is numbered by how many blocks before and with its own hold a separator
@@ -126,9 +154,9 @@ def counts(spark: SparkSession, path: str, kind: np.dtype, end: int = END, block
     return inside.unionByName(stitched)
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: Tokenizer, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Write ``docs`` as token files in the shared folder and count them: doc_id and n_tokens of each document."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    kind = write(docs, path, vocabulary)
-    return counts(spark, path, kind, block_tokens=block_tokens).select("doc_id", "n_tokens")
+    write(docs, path, tokenizer)
+    return counts(spark, path, tokenizer, block_tokens).select("doc_id", "n_tokens")
