@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .textkit import column_bytes, counts_between, map_text, mix, row_of, runs, span_hashes, window_hashes, window_starts
 
-FEATURES = ("bias", "symbols", "marks", "capitals", "bars", "digits", "short", "long_words", "repeated", "ends_sentence")
+FEATURES = ("bias", "symbols", "marks", "capitals", "bars", "digits", "short", "long_words", "repeated")
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -87,8 +87,6 @@ class Lines:
         out[:, 6] = self.words < 4
         out[:, 7] = np.minimum(1, size / words / 20)
         out[:, 8] = self.repeated
-        last = np.where(high > low, buf[np.maximum(high - 1, 0)] if len(buf) else 0, 0)
-        out[:, 9] = (last == 0x2E) | (last == 0x3F)
         return out
 
     def repeat_words(self) -> np.ndarray:
@@ -165,8 +163,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, model: LineModel) -> np.ndarr
     return states
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward: state probabilities of lines, summed pair probabilities, and first-line probabilities."""
+def marginals(scores: np.ndarray, first: np.ndarray, model: LineModel, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward: state probabilities of lines, and the sums of those of pairs and of first lines.
+
+    ``weight`` has a weight for each line, of its text, for the sums.
+    """
+    weight = np.ones(len(scores)) if weight is None else weight
     order, alive = _padded(first)
     begin = first[:-1][order]
     ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
@@ -184,10 +186,10 @@ def marginals(scores: np.ndarray, first: np.ndarray, model: LineModel) -> tuple[
     inner[first[:-1][np.diff(first) > 0]] = False
     at = np.flatnonzero(inner)
     pair = np.exp(ahead[at - 1][:, :, None] + model.transition + (scores[at] + behind[at])[:, None, :] - norm[at][:, None, None])
-    return p, pair.sum(axis=0), p[~inner].sum(axis=0)
+    return p, np.einsum("n,nab->ab", weight[at], pair), weight[~inner] @ p[~inner]
 
 
-def _train(x: np.ndarray, first: np.ndarray, quality: np.ndarray, rounds: int, steps: int, content_share: float) -> LineModel:
+def _train(x: np.ndarray, first: np.ndarray, quality: np.ndarray, weight: np.ndarray, rounds: int, steps: int, content_share: float) -> LineModel:
     """Alternate between line states and weights; line states begin as the document's label.
 
     Lines of a good document are content. Lines of a bad document are boilerplate, except those that the
@@ -195,6 +197,7 @@ def _train(x: np.ndarray, first: np.ndarray, quality: np.ndarray, rounds: int, s
     """
     bad = np.repeat(quality == 0, np.diff(first))
     target = bad.copy()
+    weight = np.repeat(weight, np.diff(first))
     model = LineModel(content_share=content_share)
     x = x.astype(np.float64)
     inner = np.ones(len(x), bool)
@@ -203,13 +206,13 @@ def _train(x: np.ndarray, first: np.ndarray, quality: np.ndarray, rounds: int, s
     at = np.flatnonzero(inner)
     for _ in range(rounds):
         gold = np.eye(2)[target.astype(int)]
-        want = (x.T @ gold, gold[at - 1].T @ gold[at], gold[heads].sum(axis=0))
+        want = (x.T @ (gold * weight[:, None]), (gold[at - 1] * weight[at, None]).T @ gold[at], weight[heads] @ gold[heads])
         params = [model.emission, model.transition, model.start]
         first_moment, second_moment = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
-            p, pair, begin = marginals(x @ model.emission, first, model)
-            for k, have in enumerate((x.T @ p, pair, begin)):
-                grad = 2 * (have - want[k]) / len(x) + 1e-4 * params[k]
+            p, pair, begin = marginals(x @ model.emission, first, model, weight)
+            for k, have in enumerate((x.T @ (p * weight[:, None]), pair, begin)):
+                grad = (have - want[k]) / weight.sum() + 1e-4 * params[k]
                 first_moment[k] = 0.9 * first_moment[k] + 0.1 * grad
                 second_moment[k] = 0.99 * second_moment[k] + 0.01 * grad * grad
                 params[k] -= 0.15 * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second_moment[k] / (1 - 0.99**step)) + 1e-8)
@@ -221,7 +224,7 @@ def _train(x: np.ndarray, first: np.ndarray, quality: np.ndarray, rounds: int, s
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, max_lines: int = 300, rounds: int = 3, steps: int = 40, content_share: float = 0.5) -> LineModel:
-    """Learn the field from at most ``sample`` labelled documents of each class.
+    """Learn the field from at most ``sample`` labelled documents of each class, weighted back to the classes' shares.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); rows with a null are no examples. The sample is
     the documents with the smallest hash of their id, so it is the same at every run; a document with
@@ -230,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, max_lines: int =
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("k_id"), F.col("quality").cast("int").alias("k_quality")).where("k_id is not null and k_quality in (0, 1)").groupBy("k_id").agg(F.min("k_quality").alias("k_quality"))
+    shares = {r.k_quality: r["count"] for r in known.groupBy("k_quality").count().collect()}
     chosen = [r for q in (0, 1) for r in known.where(F.col("k_quality") == q).orderBy(F.xxhash64("k_id"), "k_id").limit(sample).collect()]
     if len({r.k_quality for r in chosen}) < 2:
         return LineModel(content_share=content_share)
@@ -248,7 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, max_lines: int =
         return LineModel(content_share=content_share)
     x = np.concatenate([np.frombuffer(r[2], np.float32).reshape(-1, len(FEATURES)) for r in rows])
     first = np.concatenate([[0], np.cumsum([len(r[2]) // (4 * len(FEATURES)) for r in rows])])
-    return _train(x, first, np.array([r[1] for r in rows]), rounds, steps, content_share)
+    quality = np.array([r[1] for r in rows])
+    weight = np.where(quality == 1, shares[1] / (quality == 1).sum(), shares[0] / (quality == 0).sum())
+    return _train(x, first, quality, weight, rounds, steps, content_share)
 
 
 def verdicts(column: pa.Array, model: LineModel) -> dict[str, np.ndarray]:
