@@ -85,11 +85,12 @@ def test_learns_junk_lines_from_document_labels(spark, sf_dir):
     good, bad = [r for r in known if r.quality == 1], [r for r in known if r.quality == 0]
     assert np.mean([rows[r.doc_id].kept for r in good]) > 0.97
     assert bad and np.mean([rows[r.doc_id].kept for r in bad]) < 0.2
-    prose = "Thand the of inerly ere was. Onthe ingan to be and the. " * 3
-    junk = "edge*** thing### onan$$$ theran%%% inlyan&&& restou*** onbleed$$$ hean%%%"
-    marked = q.mark_lines(spark.createDataFrame([(1, f"{prose}\n{junk}\n{junk}\n\n{prose}")], "doc_id long, text string"), m).collect()
-    assert [r.label for r in sorted(marked, key=lambda r: r.line)] == ["content", "boilerplate", "boilerplate", "content"]
-    assert [r.line for r in sorted(marked, key=lambda r: r.line)] == [0, 1, 2, 4]
+    prose = [f"Thand the of inerly{k} ere was. Onthe ingan to be and the. An{k} erly of the thes." for k in range(8)]
+    junk = [f"edge{k}*** thing### onan$$$ theran%%% inlyan&&& restou*** onbleed$$$ hean%%%" for k in range(4)]
+    text = "\n".join([*prose[:4], *junk, "", *prose[4:]])
+    marked = sorted(q.mark_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), m).collect(), key=lambda r: r.line)
+    assert [r.label for r in marked] == ["content"] * 4 + ["boilerplate"] * 4 + ["content"] * 4
+    assert [r.line for r in marked] == [0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12] and text.encode()[marked[4].low : marked[4].high].decode() == junk[0]
 
 
 def test_awkward_rows(spark):
