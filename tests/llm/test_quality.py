@@ -77,14 +77,14 @@ def test_viterbi_and_marginals_against_all_paths():
     assert np.allclose(pair, want_pair) and np.allclose(begin, want_begin)
 
 
-def test_learns_junk_lines_from_document_labels(spark, sf_dir):
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+def test_learns_junk_lines_from_document_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     m = q.fit(docs, labels)
-    rows = {r.doc_id: r for r in q.judge(docs, m).collect()}
+    rows = {r.doc_id: r for r in q.judge(docs, m).select("doc_id", "base_failed", "kept").collect()}
     known = [r for r in labels.collect() if not rows[r.doc_id].base_failed]
     good, bad = [r for r in known if r.quality == 1], [r for r in known if r.quality == 0]
-    assert np.mean([rows[r.doc_id].kept for r in good]) > 0.97
-    assert bad and np.mean([rows[r.doc_id].kept for r in bad]) < 0.2
+    assert np.mean([rows[r.doc_id].kept for r in good]) > 0.99
+    assert bad and np.mean([rows[r.doc_id].kept for r in bad]) < 0.1
     prose = [f"Thand the of inerly{k} ere was. Onthe ingan to be and the. An{k} erly of the thes." for k in range(8)]
     junk = [f"edge{k}*** thing### onan$$$ theran%%% inlyan&&& restou*** onbleed$$$ hean%%%" for k in range(4)]
     text = "\n".join([*prose[:4], *junk, "", *prose[4:]])
