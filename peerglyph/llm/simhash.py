@@ -149,6 +149,17 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _link(it, radius), "u long, v long")
 
 
+def _with_smallest(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the smallest ``value`` of their ``key`` as column ``name``.
+
+    The smallest values are joined on the key's text, so that either side of the join is a plain shuffle:
+    adaptive execution can then split a hot key, which it can't where a side is an aggregate that already
+    lies by the key.
+    """
+    low = rows.groupBy(key).agg(F.min(value).alias(name)).select(F.col(key).cast("string").alias("_text"), name)
+    return rows.withColumn("_text", F.col(key).cast("string")).join(low, "_text").drop("_text")
+
+
 def connect(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node of the edges (u, v); the root is the component's smallest node.
 
@@ -161,10 +172,10 @@ def connect(edges: DataFrame, name: str = "components") -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        near = _with_smallest(both, "u", "v", "low").where("v > u")
+        large = near.select(F.col("v").alias("u"), F.least("low", "u").alias("v")).where("u <> v").distinct()
+        near = _with_smallest(large, "u", "v", "low")
+        small = near.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         after, new = materialise(small, name)
         drop(spark, path)
         now, path = after, new
@@ -184,8 +195,7 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataF
         named = classes.withColumnRenamed("low", "component_id")
     else:
         rooted = classes.join(connect(found), classes.fp == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-        smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-        named = rooted.join(smallest, "root").select("fp", "component_id")
+        named = _with_smallest(rooted, "root", "low", "component_id").select("fp", "component_id")
     drop(spark, path)
     return marked.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
