@@ -79,11 +79,33 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
 
+# These pages have one article each and nothing to be left out inside it; what the operator makes of other pages
+# is tested.
+ORACLE_SQL["op9_html_extraction"] = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as body from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(body, '</?(p|br|h1)>', ' ', 'g'), '</?b>', '', 'g') as body from a),
+t as (select page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from b)
+select page_id, url, text, length(text) as n_chars from t
+"""
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.measure(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op3_substring_dedup"] = r"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select k, unnest(range(1, len(w) - 33)) as i, unnest([array_to_string(w[j:j + 34], ' ') for j in range(1, len(w) - 33)]) as s from d where len(w) >= 35),
+r as (select k, i from s where s in (select s from s group by s having count(*) > 1)),
+c as (select k, list(distinct i + o) as gone from r, range(35) t(o) group by k),
+f as (select d.k, doc_id, w, coalesce(gone, []) as gone from d left join c on d.k = c.k),
+h as (select k, doc_id, len(w) as n_words, len(gone) as n_removed, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, gone from f where len(w) > 0),
+x as (select h.k, string_agg(word, ' ' order by h.i) as kept from h left join (select distinct k, i + o as i from r, range(35) t(o)) g on g.k = h.k and g.i = h.i where g.i is null group by h.k)
+select f.doc_id, cast(len(f.w) as bigint) as n_words, cast(len(f.gone) as bigint) as n_removed, sha256(coalesce(x.kept, '')) as kept_sha256 from f left join x on x.k = f.k
+"""
+
+
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
