@@ -471,3 +471,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(BASE + "select source, target, round(avg(ssim), 6) as mean_ssim, round(avg(phash), 6) as mean_phash, count(distinct source_font) as native_fonts, count(*) as valid_fonts from allp where source_font = target_font and not s_is_target and t_is_target and s_standard and phash >= 0.5 group by source, target having avg(ssim) >= 0.05 order by avg(ssim) desc, source, target limit 20", "C13_flagship")(flagship)
+
+
+@query()
+def P21_windowed_ssim(spark, sf_dir):
+    """Windowed SSIM of all pairs of 62 characters in four fonts, normalised together: the kernel's throughput."""
+    from ..functions.pixels import score_pairs
+    from ..operators.candidates import ALPHABET
+    from ..sources.renders import render
+
+    chars = spark.range(len(ALPHABET)).select(F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1)).alias("ch"))
+    drawn = render(chars.crossJoin(spark.range(4).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("font"))), bitmap).where("status = 'native'").select("ch", "font", "pixels", "width", "height")
+    a, b = (drawn.withColumnsRenamed({c: f"{s}_{c}" for c in ("ch", "pixels", "width", "height")}) for s in "ab")
+    # spread by pair: there are few fonts, and the kernel is what takes time
+    pairs = a.join(b, "font").repartition(spark.sparkContext.defaultParallelism, "a_ch", "b_ch")
+    return score_pairs(pairs).select("font", F.col("a_ch").alias("source"), F.col("b_ch").alias("target"), F.round("ssim", 6).alias("ssim"))
