@@ -87,9 +87,8 @@ def coverage(spark: SparkSession) -> DataFrame:
 
 
 def text_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every code point of the documents with how often it occurs; counted in each task before the shuffle."""
-    chars = table(spark, sf_dir, "documents").select(F.explode(cps.characters(F.coalesce("text", F.lit("")))).alias("ch"))
-    return chars.groupBy("ch").agg(F.count("*").alias("n")).withColumn("cp", cps.first_code_point(F.col("ch")))
+    """Every code point of the documents, with its character and how often it occurs."""
+    return ucd.characters_of(cps.count_code_points(table(spark, sf_dir, "documents"), "text"))
 
 
 # SQL of the small inputs

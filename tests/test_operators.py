@@ -141,3 +141,14 @@ def test_control_pairs_decide(spark):
     assert incremental.checked(rows, ["rn/m"], ["ww/n", "mm/n"])
     assert not incremental.checked(rows, ["rn/m", "cl/d"], [])
     assert not incremental.checked(rows, [], ["rn/m"])
+
+
+def test_code_points_are_counted(spark):
+    from collections import Counter
+
+    from peerglyph.functions.codepoints import count_code_points
+
+    texts = ["abca", None, "", "é中\U00010348\U00010348", "a" * 5000]
+    got = {r.cp: r.n for r in count_code_points(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
+    assert got == Counter(ord(c) for t in texts if t for c in t)
+    assert count_code_points(spark.createDataFrame([], "t string"), "t").count() == 0
