@@ -70,7 +70,7 @@ def render_jobs(chars: DataFrame, coverage: DataFrame, fonts: DataFrame, fallbac
     """
     covering = coverage.join(fonts.select("family"), "family").select("cp", "family").distinct()
     direct = chars.select("cp").join(covering, "cp").withColumn("fallback", F.lit(False))
-    rest = chars.select("cp").join(covering.select("cp").distinct(), "cp", "left_anti").crossJoin(F.broadcast(fallback.select("family").limit(64))).withColumn("fallback", F.lit(True))
+    rest = chars.select("cp").join(covering.select("cp").distinct(), "cp", "left_anti").crossJoin(fallback.select("family")).withColumn("fallback", F.lit(True))
     return direct.unionByName(rest)
 
 

@@ -27,6 +27,22 @@ def hash_similarity() -> Column:
     return hashes.similarity(F.col("s_phash"), F.col("t_phash"))
 
 
+def all_pairs(sources: DataFrame, targets: DataFrame, most: int = 200_000) -> DataFrame:
+    """Every source (columns s_...) with every target (t_...), the targets being the set that is asked about.
+
+    Targets are counted first. Up to ``most`` of them (rows of a few numbers) are sent to all tasks. More are
+    dealt to blocks of that size, sources are repeated for each block, and the two are joined by block, so
+    that no task ever holds more targets than ``most`` and no nested loop over whole tables is planned.
+    """
+    blocks = max(1, -(-targets.count() // most))
+    s, t = side(sources, "s"), side(targets, "t")
+    if blocks == 1:
+        return s.crossJoin(F.broadcast(t))
+    block = F.pmod(F.xxhash64(*t.columns), F.lit(blocks)).cast("int")
+    repeated = s.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return repeated.join(t.withColumn("_block", block), "_block").drop("_block")
+
+
 def same_font(sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Every source with every target in the same font, with ``phash``, their similarity.
 
@@ -56,7 +72,7 @@ def best_target_font(sources: DataFrame, targets: DataFrame, least: float = HASH
     group and task is shuffled, and never a sort of all candidates.
     """
     s, t = sources.select("ch", "font", "ord", "phash"), targets.select("ch", "font", "ord", "phash")
-    met = side(s, "s").join(side(t, "t"), F.lit(True)).withColumn("phash", hash_similarity()).where("phash > 0")
+    met = all_pairs(s, t).withColumn("phash", hash_similarity()).where("phash > 0")
     winner = F.max_by(F.struct("t_font", "t_ord"), F.struct(F.col("phash"), (-F.col("t_ord")).alias("o")))
     best = met.groupBy("s_ch", "s_font", "s_ord", "t_ch").agg(winner.alias("w"), F.max("phash").alias("phash"))
     return best.where(F.col("phash") >= least).select("s_ch", "s_font", "s_ord", "t_ch", F.col("w.t_font").alias("t_font"), F.col("w.t_ord").alias("t_ord"), "phash")
@@ -65,18 +81,23 @@ def best_target_font(sources: DataFrame, targets: DataFrame, least: float = HASH
 def best_in_script(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each render of side A, the most similar render of side B in another font, one for the whole script."""
     a, b = a.select("ch", "font", "ord", "phash"), b.select("ch", "font", "ord", "phash")
-    met = side(a, "s").join(side(b, "t"), F.col("s_font") != F.col("t_font")).withColumn("phash", hash_similarity())
+    met = all_pairs(a, b).where("s_font <> t_font").withColumn("phash", hash_similarity())
     winner = F.max_by(F.struct("t_ch", "t_font", "t_ord"), F.struct(F.col("phash"), (-F.col("t_ord")).alias("o")))
     return met.groupBy("s_ch", "s_font", "s_ord").agg(winner.alias("w"), F.max("phash").alias("phash")).select("s_ch", "s_font", "s_ord", F.col("w.t_ch").alias("t_ch"), F.col("w.t_font").alias("t_font"), F.col("w.t_ord").alias("t_ord"), "phash")
 
 
-def with_near_render(b: DataFrame, a: DataFrame, bits: int = HAN_BITS, most: float = WIDTH_RATIO) -> DataFrame:
+def with_near_render(b: DataFrame, a: DataFrame, bits: int = HAN_BITS, most: float = WIDTH_RATIO, most_rows: int = 200_000) -> DataFrame:
     """Characters of side B of which some render is near some render of side A (in hash and width).
 
     Both widths come from the same column. A radius of 44 of 64 bits leaves nothing to block on; distinct
-    (hash, width) pairs of side A, whose number does not grow with copies, are met instead of its rows.
+    (hash, width) pairs of side A, whose number does not grow with copies, are met instead of its rows. Up to
+    ``most_rows`` of them are sent to all tasks, which stop at the first that is near; more are met in blocks.
     """
-    near = side(a.select("phash", "ink_w").distinct(), "a")
+    near = a.select("phash", "ink_w").distinct()
+    if near.count() > most_rows:
+        met = all_pairs(b.select("ch", "phash", "ink_w"), near, most_rows)
+        return met.where((hashes.hamming(F.col("s_phash"), F.col("t_phash")) <= bits) & ratio_within(F.col("s_ink_w"), F.col("t_ink_w"), most)).select(F.col("s_ch").alias("ch")).distinct()
+    near = F.broadcast(side(near, "a"))
     test = (hashes.hamming(F.col("phash"), F.col("a_phash")) <= bits) & ratio_within(F.col("ink_w"), F.col("a_ink_w"), most)
     return b.join(near, test, "left_semi").select("ch").distinct()
 

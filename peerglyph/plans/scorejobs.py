@@ -39,7 +39,7 @@ def score_pairs(r: DataFrame, least: float, high: float | None = None) -> DataFr
     """All same-font comparisons of standard fonts and all cross-font ones of other sources; those below
     the hash gate are kept without SSIM."""
     sources, others, targets = sides(r)
-    cross = sim.side(others, "s").join(sim.side(targets, "t"), F.lit(True)).withColumn("phash", sim.hash_similarity())
+    cross = sim.all_pairs(others, targets).withColumn("phash", sim.hash_similarity())
     met = sim.same_font(sources, targets).unionByName(cross)
     scored = sim.with_global_ssim(sim.gate_hash(met, least), r)
     kept = met.where(F.col("phash") < least)
@@ -61,7 +61,7 @@ def score_scripts(r: DataFrame, least: float, size: int = 10) -> DataFrame:
     a, b = sim.side(light, "s"), sim.side(light, "t")
     apart = F.col("s_script") < F.col("t_script")
     same = a.join(b, (F.col("s_font") == F.col("t_font")) & apart).withColumn("phash", sim.hash_similarity())
-    other = a.join(b, (F.col("s_font") != F.col("t_font")) & apart).withColumn("phash", sim.hash_similarity())
+    other = sim.all_pairs(light, light).where((F.col("s_font") != F.col("t_font")) & apart).withColumn("phash", sim.hash_similarity())
     columns = ["s_ch", "s_font", "s_ord", "s_script", "s_ink_w", "t_ch", "t_font", "t_ord", "t_script", "t_ink_w"]
     rest = [c for c in columns if c not in ("s_ord", "t_script")]
     winner = F.max_by(F.struct(*rest), F.struct(F.col("phash"), (-F.col("t_ord")).alias("o")))
@@ -303,7 +303,7 @@ def A26_verified(spark, sf_dir):
 def A25_skip_causes(spark, sf_dir):
     r = renders(spark, sf_dir)
     _, _, targets = sides(r)
-    met = sim.side(r.where("not is_target").drop("px", "bits"), "s").join(sim.side(targets, "t"), F.lit(True)).withColumn("phash", sim.hash_similarity())
+    met = sim.all_pairs(r.where("not is_target").drop("px", "bits"), targets).withColumn("phash", sim.hash_similarity())
     return sim.skip_causes(met, HASH, 1.1).groupBy("mode", "cause").agg(F.count("*").alias("n"))
 
 

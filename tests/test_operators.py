@@ -152,3 +152,14 @@ def test_code_points_are_counted(spark):
     got = {r.cp: r.n for r in count_code_points(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
     assert got == Counter(ord(c) for t in texts if t for c in t)
     assert count_code_points(spark.createDataFrame([], "t string"), "t").count() == 0
+
+
+def test_all_pairs_in_blocks_are_all_pairs(spark):
+    sources, targets = renders(spark, *((f"s{k}", "F", k, k) for k in range(5))), renders(spark, *((f"t{k}", "G", 100 + k, 3 * k) for k in range(23)))
+    whole = {(r.s_ch, r.t_ch) for r in similarity.all_pairs(sources, targets).collect()}
+    blocks = [(r.s_ch, r.t_ch) for r in similarity.all_pairs(sources, targets, most=4).collect()]
+    assert len(blocks) == 5 * 23 and set(blocks) == whole
+    plan = similarity.all_pairs(sources, targets, most=4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    near = [{r.ch for r in similarity.with_near_render(targets, sources, 1, most_rows=n).collect()} for n in (2, 1000)]
+    assert near[0] == near[1] and 0 < len(near[0]) < 23
