@@ -61,7 +61,7 @@ def bitmap(text: str, font: str, width: int = CANVAS, height: int = CANVAS) -> n
     if not text.strip():
         return None
     out = np.full((height, width), WHITE, np.uint8)
-    step = width // max(1, len(text))
+    step = min(width, CANVAS) // max(1, len(text))  # a sequence is as wide as a letter
     nudge = sum(map(ord, font)) % 3
     for k, c in enumerate(text):
         rng = np.random.default_rng(ord(c))
