@@ -112,7 +112,7 @@ def _train(buckets: np.ndarray, heads: np.ndarray, sentence_doc: np.ndarray, lab
         factor = weight * np.where(positive, -np.exp(-clean) / toxic, 1.0)
         g = np.exp(-np.logaddexp(0, -z)) * factor[sentence_doc]
         grad = np.append(np.bincount(features, g[of], minlength=len(used)), g.sum()) / weight.sum()
-        grad[:-1] += 3e-4 * params[:-1]
+        grad[:-1] += 1e-4 * params[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         params -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(size)
@@ -120,7 +120,7 @@ def _train(buckets: np.ndarray, heads: np.ndarray, sentence_doc: np.ndarray, lab
     return SentenceModel(weights, float(params[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, max_words: int = 4000, steps: int = 150, least_docs: int = 5, least_gain: float = 12.0) -> SentenceModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, max_words: int = 4000, steps: int = 300, least_docs: int = 5, least_gain: float = 12.0) -> SentenceModel:
     """Learn from at most ``sample`` documents of each class, none of them held out.
 
     They are those with the smallest hash of their id, weighted back to the classes' shares among all
