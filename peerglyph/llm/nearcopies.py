@@ -1,0 +1,217 @@
+"""Near copies as documents: all pairs of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Similarity is exact. The shingles of a set are put in one order, the same for all sets, and two sets that are
+similar enough share one of their first ``n - ceil(0.8 n) + 1``; so these are dealt out by shingle, and only texts
+that meet are compared. The order begins with shingles that a sample doesn't show as frequent. It decides how many
+texts meet by chance and never which pairs are found.
+
+Equal texts meet as one before that. Where many texts share a shingle, each is first compared with the smallest
+set and with the next larger one; of the rest only pairs that this hasn't linked are compared.
+
+Defined results: words are split at ASCII white space and A-Z count as a-z; a text of under five words is one
+shingle; null and empty texts are equal; links hold over chains, as in ``simhash``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .simhash import SEED, _with_smallest, connect
+from .storage import drop, materialise
+from .textkit import column_bytes, map_text, runs, span_hashes, window_hashes
+
+SHINGLE = 5
+#: Documents whose shingles are counted to order them, and how many frequent ones are sent to all tasks.
+SAMPLE, FREQUENT, OFTEN = 20_000, 200_000, 3
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted hashes of each text's shingles."""
+    buf, offs = column_bytes(column)
+    buf = LOWER[buf]
+    starts, ends, first = runs(buf, offs)
+    windows = window_hashes(span_hashes(buf, starts, ends), SHINGLE)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= SHINGLE:
+            out.append(np.unique(windows[a : b - SHINGLE + 1]))
+        else:
+            words = b" ".join(buf[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True))
+            out.append(np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64))
+    return out
+
+
+def names(column: pa.Array) -> np.ndarray:
+    """A number for each text, by its words."""
+    found = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), SEED + 1) for t in column.to_pylist()]
+    return np.array(found, np.uint64).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of two sets of at least 0.8, in whole numbers."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set that any set similar to it shares one of, the rarest first."""
+    n = len(found)
+    keep = n - -(-4 * n // 5) + 1
+    if not len(frequent):
+        return found[:keep]
+    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+    place = np.where(frequent[at] == found, rank[at], 0)
+    return found[np.lexsort((found, place))[:keep]]
+
+
+def _frequent(docs: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the documents shows often, sorted, and the place of each in the order."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column("text"))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
+
+    counted = map_text(docs.select("text").sample(min(1.0, share), SEED), "text", work, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    rows = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    tokens = np.asarray(rows.column("token").combine_chunks()).view(np.uint64)
+    place = len(tokens) - np.arange(len(tokens))  # the most frequent one comes last
+    order = np.argsort(tokens)
+    return tokens[order], place[order]
+
+
+def _postings(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """token, sid, size of the set, and the token's place in its order."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = [(s, prefix(s, frequent, rank)) for s in shingle_sets(batch.column("text"))]
+        many = np.array([len(p) for _, p in first], np.int64)
+        token = np.concatenate([*(p for _, p in first), np.zeros(0, np.uint64)]).view(np.int64)
+        place = np.concatenate([*(np.arange(k) for k in many), np.zeros(0, np.int64)])
+        sizes = np.array([len(s) for s, _ in first], np.int64)
+        columns = [token, np.repeat(names(batch.column("text")), many), np.repeat(sizes, many).astype(np.int32), place.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "size", "place"])
+
+    return map_text(docs.select("text"), "text", work, "token long, sid long, size int, place int")
+
+
+def _may(sid: np.ndarray, size: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b, if the token is the first that they share, can share enough."""
+    most = np.minimum(size[a] - place[a], size[b] - place[b])
+    return (sid[a] != sid[b]) & (9 * most >= 4 * (size[a] + size[b]))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups of rows with the same token (the first column), out of sorted rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = np.asarray(batch.column(0))
+        others = np.flatnonzero(token != token[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0  # the last group may go on in the next batch
+        if held and (cut or int(held[-1].column(0)[-1].as_py()) != int(token[0])):
+            # what is held ends in this batch, or has ended before it
+            yield _columns([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield _columns([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield _columns(held)
+
+
+def _columns(parts: list[pa.RecordBatch]) -> list[np.ndarray]:
+    return [np.asarray(c.combine_chunks()).astype(np.int64) for c in pa.Table.from_batches(parts).columns]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of each row with the next and the first one of its group; the rows of groups of four and more."""
+    for token, sid, size, place in _groups(batches):
+        n = len(token)
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        b = np.flatnonzero(~new)
+        for a, c in ((b - 1, b), (head[b], b)):
+            ok = _may(sid, size, place, a, c)
+            a, c = a[ok], c[ok]
+            low, high = np.minimum(sid[a], sid[c]), np.maximum(sid[a], sid[c])
+            yield _mixed(low, high, None, None, None)
+        crowd = np.bincount(head, minlength=n)[head] >= 4
+        yield _mixed(None, sid[crowd], token[crowd], size[crowd], place[crowd])
+
+
+def _mixed(a, b, token, size, place) -> pa.RecordBatch:
+    n = len(b)
+    columns = [pa.nulls(n, kind) if c is None else pa.array(c, kind) for c, kind in ((a, pa.int64()), (b, pa.int64()), (token, pa.int64()), (size, pa.int32()), (place, pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "token", "size", "place"])
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a group that aren't linked yet."""
+    for token, sid, size, place, root in _groups(batches):
+        at, step = np.arange(len(token)), 1
+        while len(at := at[at + step < len(token)]):
+            at = at[token[at] == token[at + step]]
+            a = at[root[at] != root[at + step]]
+            a = a[_may(sid, size, place, a, a + step)]
+            if len(a):
+                low, high = np.minimum(sid[a], sid[a + step]), np.maximum(sid[a], sid[a + step])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+            step += 1
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose sets are similar, as edges (u, v)."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([pa.array(names(batch.column("text"))), pa.array(sets, pa.binary())], ["sid", "held"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    ids = classes.join(wanted, "sid", "left_semi").select(F.col("low").alias("l_id"))
+    texts = docs.join(ids, docs.doc_id == F.col("l_id"), "left_semi").select("text")
+    sets, _ = materialise(map_text(texts, "text", make, "sid long, held binary"), "sets")
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("held").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links, of each row."""
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names(batch.column("text")))], ["doc_id", "sid"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked, _ = materialise(map_text(docs, "text", mark, "doc_id long, sid long"), "texts")
+    classes, _ = materialise(marked.groupBy("sid").agg(F.min("doc_id").alias("low")), "classes")
+    copies, _ = materialise(marked.join(classes, "sid").groupBy(F.col("doc_id").alias("c_id")).agg(F.max(F.col("doc_id") == F.col("low")).alias("leads")).where("not leads").select("c_id"), "copies")
+    single = docs.join(copies, docs.doc_id == copies.c_id, "left_anti")
+    frequent, rank = _frequent(single, SAMPLE / max(1, classes.count()))
+    met = _postings(single, frequent, rank).repartition("token").sortWithinPartitions("token", "size", "sid")
+    near, _ = materialise(met.mapInArrow(_neighbours, "a long, b long, token long, size int, place int"), "near")
+    pairs, _ = materialise(near.where("token is null").select("a", "b").distinct(), "pairs")
+    found, _ = materialise(_linked(pairs, single, classes), "links")
+    rooted = connect(found) if not found.isEmpty() else found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    crowded = near.where("token is not null").select("token", F.col("b").alias("sid"), "size", "place")
+    labelled = crowded.join(rooted, crowded.sid == rooted.node, "left").select("token", "sid", "size", "place", F.coalesce("root", "sid").alias("root"))
+    rest = labelled.repartition("token").sortWithinPartitions("token", "size", "sid").mapInArrow(_rest, "a long, b long").distinct()
+    others, path = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not others.isEmpty():
+        more, _ = materialise(_linked(others, single, classes), "links")
+        found = found.unionByName(more)
+        rooted = connect(found) if not found.isEmpty() else rooted
+    drop(docs.sparkSession, path)
+    named = _with_smallest(classes.join(rooted, classes.sid == rooted.node, "left").select("sid", "low", F.coalesce("root", "sid").alias("root")), "root", "low", "component_id").select("sid", "component_id")
+    return marked.join(named, "sid").select("doc_id", "component_id")

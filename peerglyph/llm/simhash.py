@@ -18,7 +18,7 @@ table gives an empty result; other columns are ignored (``components``) or passe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +201,11 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataF
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """``keep_leaders`` of the components over links of fingerprints."""
+    return keep_leaders(docs, lambda named: components(named, shingle, radius))
+
+
+def keep_leaders(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``docs`` without the rows whose doc_id doesn't name their component; all columns as they were.
 
     Of rows with the same doc_id and text one stays. Rows without a doc_id can't be named and all stay.
@@ -209,7 +214,7 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataF
     """
     spark = docs.sparkSession
     named = docs.where("doc_id is not null")
-    found, _ = materialise(components(named, shingle, radius).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("leads")), "leaders")
+    found, _ = materialise(find(named).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("leads")), "leaders")
     by_id = found.groupBy(F.col("doc_id").alias("d_id")).agg(F.max("leads").alias("leads"), F.count("*").alias("times"))
     dropped, _ = materialise(by_id.where(~F.col("leads")).select("d_id"), "dropped")
     again, _ = materialise(by_id.where("leads and times > 1").select("d_id"), "again")

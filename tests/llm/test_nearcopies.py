@@ -1,0 +1,74 @@
+import random
+
+import corpus_pipeline as cp
+import numpy as np
+import pytest
+
+from common import awkward
+from peerglyph.llm import nearcopies as nc
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def low(rows):
+    """The smallest reachable id of each row, over all pairs."""
+    sets, out = [shingles(t) for _, t in rows], [i for i, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(len(rows)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if out[b] < out[a]:
+                out[a], changed = out[b], True
+    return out
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"new{rng.random()}"
+    return words
+
+
+@pytest.mark.parametrize("often", [3, 10**9])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, often):
+    monkeypatch.setattr(nc, "OFTEN", often)
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.random()}" for _ in range(rng.randint(60, 200))]
+        rows += [common + base, common + edited(rng, base, 2), edited(rng, common + base, 5), base[: len(base) * 9 // 10]]
+        rows.append(common + edited(rng, edited(rng, base, 2), 2))
+    rows += [edited(rng, rows[0], 1) for _ in range(20)]
+    rows += [["a"], ["A"], [], ["a", "b", "c", "d", "e"], rows[3]]
+    texts = [(100 - i, " ".join(w)) for i, w in enumerate(rows)]
+    want = sorted(zip((i for i, _ in texts), low(texts), strict=True))
+    got = sorted(tuple(r) for r in nc.components(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect())
+    assert got == want and 20 < len({c for _, c in got}) < len(texts)
+
+
+def test_groups_stay_whole_over_batches():
+    import pyarrow as pa
+
+    token = np.sort(np.random.default_rng(4).integers(0, 30, 200))
+    for size in (1, 2, 7, 50, 200):
+        table = pa.table({"token": token, "row": np.arange(200)})
+        parts = [c[0] for c in nc._groups(iter(table.to_batches(max_chunksize=size)))]
+        assert np.concatenate(parts).tolist() == token.tolist()
+        assert all(a[-1] != b[0] for a, b in zip(parts[:-1], parts[1:], strict=True))
+
+
+def test_the_stage_drops_near_copies_beyond_two_bits(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = {i for (i, _), first in zip(rows, low(rows), strict=True) if i == first}
+    assert {r.doc_id for r in cp.simhash_dedup(spark, docs, sf_dir).collect()} == want
+
+
+def test_awkward_rows(spark):
+    got = sorted((r.doc_id for r in cp.simhash_dedup(spark, awkward(spark), "").collect()), key=str)
+    assert got == sorted([1, 2, 5, 6, 7, 8, None], key=str)
