@@ -108,14 +108,17 @@ def _record(data: bytes, at: int) -> tuple[Piece | None, int, str]:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What a gzip member holds, as far as it can be read; where it ends; whether it is whole."""
-    unzip, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while pos < len(data) and not unzip.eof:
-            out.append(unzip.decompress(data[pos : pos + 65536]))
-            pos += 65536
-        return b"".join(out), min(pos, len(data)) - len(unzip.unused_data), unzip.eof
-    except zlib.error:
-        return b"".join(out), at, False
+    unzip, out, pos, step = zlib.decompressobj(31), [], at, 65536
+    while pos < len(data) and not unzip.eof:
+        before = unzip.copy()
+        try:
+            out.append(unzip.decompress(data[pos : pos + step]))
+            pos += step
+        except zlib.error:  # a call that raises gives nothing: the bytes before the damage, in smaller steps
+            if step == 1:
+                return b"".join(out), at, False
+            unzip, step = before, step // 2
+    return b"".join(out), min(pos, len(data)) - len(unzip.unused_data), unzip.eof
 
 
 def salvage(data: bytes) -> Iterator[Piece]:

@@ -57,6 +57,23 @@ def test_damaged_gzip_members():
     assert good(b"\x1f\x8b\x08" + c) == [b"third"]
 
 
+def test_records_before_the_damage_of_a_member_come_back():
+    import random
+
+    rng = random.Random(5)
+    records = [record(rng.randbytes(20).hex().encode()) for _ in range(400)]
+    whole = good(b"".join(records))
+    member = gzip.compress(b"".join(records))
+    assert len(whole) == 400 and len(member) < 65536
+    wrong = bytearray(member)
+    wrong[-8] ^= 0xFF  # the CRC
+    assert good(bytes(wrong)) == whole
+    hurt = bytearray(member)
+    hurt[len(member) // 2 : len(member) // 2 + 40] = bytes(40)
+    found = good(bytes(hurt) + gzip.compress(C))
+    assert len(found) > 100 and found[-1] == b"third" and found[:100] == whole[:100]
+
+
 def test_lengths_cover_the_file():
     data = A + b"junk" + B + C[:-3]
     assert sum(p.length for p in w.salvage(data)) == len(data)
