@@ -171,7 +171,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def number(x: str | None) -> int | None:
-        return int(x) if x and re.fullmatch(r"-?\d{1,18}", x) else None
+        found = int(x) if x and re.fullmatch(r"-?[0-9]{1,19}", x) else None
+        return found if found is not None and -(2**63) <= found < 2**63 else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -120,3 +120,8 @@ def test_archives_hold_the_pages_and_damage_is_logged(spark, tmp_path):
     assert hurt.where("reason is null").count() == 3
     gap = hurt.where("reason is not null").first()
     assert gap.offset == 0 and gap.length > 0 and gap.payload is None
+
+
+def test_page_ids_of_the_whole_range_come_back(spark):
+    rows = [(2**63 - 1, "a", "same"), (-(2**63), "b", "same"), (10**18, "c", "other")]
+    assert sorted((tuple(r) for r in w.round_trip(spark.createDataFrame(rows, PAGE)).collect()), key=str) == expect(rows)
