@@ -69,6 +69,52 @@ def test_held_out_labels_are_not_learnt_from(spark):
     assert a.bias == b.bias and (a.weights == b.weights).all()
 
 
+def test_settings_come_from_rows_that_may_teach(spark):
+    rng = np.random.default_rng(8)
+    ids = np.array([i for i in range(600) if zlib.crc32(str(i).encode()) % 5])
+    label = (rng.random(len(ids)) < 0.3).astype(int)
+    words = [rng.integers(0, 500, (12, t.PER_WORD)).astype(np.int32) for _ in ids]
+    for w, y in zip(words, label, strict=True):
+        w[5] = 1000 + rng.integers(2) if y else w[5]
+    examples = t.Examples(ids, label, words, [np.array([0, 6]) for _ in ids])
+    # a model that shrinks everything away loses on the rows that choose; the order of settings has no part in it
+    for settings in (((7.0, 10.0), (7.0, 1e-4)), ((7.0, 1e-4), (7.0, 10.0))):
+        assert t.choose(examples, np.ones(len(ids)), 60, 3, settings) == (7.0, 1e-4)
+    assert t.choose(examples.take(np.flatnonzero(label == 0)), np.ones(len(ids)), 60, 3) == t.SETTINGS[0]
+
+
+def test_one_text_is_read_for_an_id(spark):
+    docs, labels = corpus(spark, 100)
+    many = docs.unionByName(docs.where("doc_id = 5").selectExpr("doc_id", "text").crossJoin(spark.range(500)).select("doc_id", "text"))
+    a, b = t.fit(docs, labels), t.fit(many, labels)
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+
+
+def test_sentences_of_other_scripts():
+    s = t.Sentences(pa.array(["你是坏人。今天好！Ja ok｡नमस्ते दुनिया। फिर", "ab中文cd", "สวัสดี"]))
+    starts = [s.buf[a:b].tobytes().decode() for a, b in zip(s.starts.tolist(), s.ends.tolist(), strict=True)]
+    assert starts == ["你是", "是坏", "坏人", "人", "今天", "天好", "好", "ja", "ok", "नमस्ते", "दुनिया", "फिर", "ab", "中文", "文", "cd", *["สว", "วั", "ัส", "สด", "ดี", "ี"]]
+    assert [starts[h] for h in s.heads] == ["你是", "今天", "ja", "नमस्ते", "फिर", "ab", "สว"]
+    assert s.sentence_row.tolist() == [0, 0, 0, 0, 0, 1, 2]
+    assert (s.buckets[3] == s.buckets[3][0]).all() and s.buckets[2][1] != s.buckets[2][0]
+
+
+def test_toxic_sentences_without_spaces(spark):
+    rng = np.random.default_rng(4)
+    signs = [chr(c) for c in range(0x4E00, 0x4E60)]
+    rows, labels = [], []
+    for i in range(300):
+        sentences = ["".join(rng.choice(signs, 10)) for _ in range(5)]
+        if i % 4 == 0:
+            sentences[int(rng.integers(5))] += "混蛋"
+        rows.append((i, "。".join(sentences)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = t.fit(docs, marks)
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in t.score(docs, model).where("held_out").collect()]) > 0.95
+    assert np.mean(["混蛋" in r.text for r in t.offending(docs, model).collect()]) > 0.95
+
+
 def test_the_driver_tables(spark):
     sf_dir = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
