@@ -4,6 +4,7 @@ A token file is nothing but token ids, little-endian and of one width, with an e
 each document; there is no index. Files are cut into blocks; in each block one vectorised comparison finds
 the separators. Documents inside a block are counted there; of the rest a block tells only how many tokens
 stand before its first and after its last separator, and a prefix scan over a file's blocks joins these.
+Blocks are read by place, ``UNIT_BLOCKS`` by a task, so that a file of any size is shared by many tasks.
 
 A document begins with its doc_id in ``HEADER`` tokens (14 bits in each, raised above the small ids, so
 that none is the separator); a block is read with so many tokens of look-ahead. The writer uses Spark's
@@ -18,6 +19,7 @@ table gives no documents; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,19 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import View, deal, files, map_files, map_units, readable, units
 from .storage import new_path
 from .textkit import map_text
 
 HEADER, DIGIT_BITS, RAISED = 5, 14, 259
 NO_ID = RAISED + (1 << DIGIT_BITS)  # each header token of a document without an id
 BLOCK_TOKENS = 1 << 18
+UNIT_BLOCKS = 32
 MOST_PIECES = 1 << 20
+#: Characters that are white space to the splitting pattern; a run of so many is not given to it, and a text
+#: is given to it in parts of about so many characters.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN, PART = 4096, 1 << 20
 
 
 class Tokenizer:
@@ -58,6 +66,36 @@ class Tokenizer:
         return tiktoken.Encoding("tokenfiles", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
 
 
+_RUN = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+_EDGE = re.compile(f"[^{WHITE}](?=[{WHITE}])")
+
+
+def encode(text: str, encoding: tiktoken.Encoding) -> np.ndarray:
+    """The ids of a text, of any length.
+
+    The pattern that splits a text before merging can't take white space of a million characters, so long
+    runs of it are merged outright: all of a run but its last character is one piece (all of it at the end
+    of the text). White space after another character is always a boundary; long texts are cut there.
+    """
+    if len(text) < LONG_RUN:
+        return np.array(encoding.encode_ordinary(text), np.int64)
+    out, at = [np.zeros(0, np.int64)], 0
+
+    def plain(low: int, high: int) -> None:
+        while low < high:
+            edge = _EDGE.search(text, low + PART, high) if high - low > PART else None
+            stop = edge.end() if edge else high
+            out.append(np.array(encoding.encode_ordinary(text[low:stop]), np.int64))
+            low = stop
+
+    for run in _RUN.finditer(text):
+        plain(at, run.start())
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(np.array(encoding._encode_single_piece(text[run.start() : at]), np.int64))
+    plain(at, len(text))
+    return np.concatenate(out)
+
+
 _encodings: dict[int, tiktoken.Encoding] = {}  # of this worker process: that of the tokenizer in use
 
 
@@ -80,8 +118,8 @@ def write(docs: DataFrame, path: str, tokenizer: Tokenizer, documents_per_file:
     kind = tokenizer.kind
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = _encoding(shared.value).encode_ordinary
-        rows = [np.concatenate([header(i), np.array(encode(t or ""), np.int64)]).astype(kind).tobytes() for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        encoding = _encoding(shared.value)
+        rows = [np.concatenate([header(i), encode(t or "", encoding)]).astype(kind).tobytes() for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
     coded = map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", work, "value binary")
@@ -101,17 +139,19 @@ def _ids(tokens: np.ndarray, starts: np.ndarray) -> list[int | None]:
 SCAN = "file string, block long, separated boolean, head long, tail long, doc_id long, named boolean, start long, n long"
 
 
-def scan(spark: SparkSession, path: str, tokenizer: Tokenizer, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks with what they hold: a row for each document inside a block, and one for the block's edges."""
+def scan(spark: SparkSession, path: str, tokenizer: Tokenizer, block_tokens: int = BLOCK_TOKENS, unit_blocks: int = UNIT_BLOCKS) -> DataFrame:
+    """Blocks with what they hold: a row for each document inside a block, and one for the block's edges.
+
+    ``unit_blocks`` blocks of a file are the unit of work.
+    """
     kind, end = tokenizer.kind, tokenizer.end
+    width = kind.itemsize
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_buffer()
-                whole = np.frombuffer(data, kind, len(data) // kind.itemsize) if data is not None and len(data) else np.zeros(0, kind)
-                for block, at in enumerate(range(0, len(whole), block_tokens)):
-                    yield one(name, block, at, whole[at : at + block_tokens + HEADER], min(block_tokens, len(whole) - at))
+    def blocks(view: View, unit: dict) -> Iterator[pa.RecordBatch]:
+        for at in range(unit["low"] // width, unit["high"] // width, block_tokens):
+            read = view.get(at * width, (block_tokens + HEADER) * width)
+            tokens = np.frombuffer(read, kind, len(read) // width)
+            yield one(unit["path"], at // block_tokens, at, tokens, min(block_tokens, len(tokens)))
 
     def one(name: str, block: int, at: int, tokens: np.ndarray, size: int) -> pa.RecordBatch:
         """``tokens`` go on after the block's ``size`` tokens by a header's length, or to the file's end."""
@@ -134,7 +174,11 @@ def scan(spark: SparkSession, path: str, tokenizer: Tokenizer, block_tokens: int
         kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCAN.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(blocks, SCAN)
+    listed = files(spark, path)
+    if not readable(listed):
+        return map_files(spark, path, blocks, SCAN)
+    cut = units(listed, unit_blocks * block_tokens * width)
+    return map_units(spark, deal(cut, cut.count()), blocks, SCAN)
 
 
 def counts(spark: SparkSession, path: str, tokenizer: Tokenizer, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
