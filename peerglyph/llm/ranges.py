@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 #: Bytes read at once, and tasks that units are dealt to at most.
 READ, MOST_TASKS = 1 << 20, 20_000
-UNITS = "path string, size long, low long, high long"
 
 
 def open_file(path: str) -> pa.NativeFile:

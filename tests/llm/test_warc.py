@@ -125,3 +125,107 @@ def test_archives_hold_the_pages_and_damage_is_logged(spark, tmp_path):
 def test_page_ids_of_the_whole_range_come_back(spark):
     rows = [(2**63 - 1, "a", "same"), (-(2**63), "b", "same"), (10**18, "c", "other")]
     assert sorted((tuple(r) for r in w.round_trip(spark.createDataFrame(rows, PAGE)).collect()), key=str) == expect(rows)
+
+
+def test_valid_records_with_other_digests_and_folded_headers():
+    import time
+
+    sha = hashlib.sha1(b"payload").digest()
+    for digest in (base64.b32encode(sha).lower(), sha.hex().encode(), sha.hex().upper().encode()):
+        assert good(record(b"payload", digest=digest)) == [b"payload"]
+    assert good(record(b"payload", digest=b"0" * 40)) == []
+    assert good(record(b"payload").replace(b"sha1:", b"sha512:")) == [b"payload"]
+    folded = record(b"payload").replace(b"WARC-Type: response", b"WARC-Type: response\r\nX-Note: one\r\n\ttwo\r\n  three")
+    assert next(w.salvage(folded)).headers["x-note"] == "one two three"
+    start = time.time()
+    assert good(A + b"WARC/1.1\r\n" * 100_000 + C) == [b"first", b"third"]
+    assert good(A + b"WARC/1.1\r\nx: y\r\n" * 60_000 + C) == [b"first", b"third"]
+    assert good(A + b"WARC/1.1\r\nContent-Length: 9\r\n\r\n" * 30_000 + C) == [b"first", b"third"]
+    assert time.time() - start < 10
+
+
+def test_members_in_members_and_members_that_unpack_to_much():
+    import time
+    import tracemalloc
+
+    data = A
+    for _ in range(1500):
+        data = gzip.compress(data)
+    assert good(data + C) == [b"third"] and [r for _, r in gaps(data + C)] == [len(data)]
+    start = time.time()
+    bomb = gzip.compress(bytes(300 << 20), 9)
+    tracemalloc.start()
+    assert good(A + bomb + C) == [b"first", b"third"] and gaps(A + bomb + C) == [(len(A), len(bomb))]
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20 and time.time() - start < 10
+    tracemalloc.stop()
+
+
+def hurt_archive(rng, zipped):
+    """Records, some of which hold records, with noise, cuts and changed bytes between and in them."""
+    parts = []
+    for k in range(60):
+        body = b"page %d " % k + rng.randbytes(rng.randrange(0, 400)).hex().encode()
+        if k % 5 == 0:
+            body += record(b"inside %d" % k) + record(b"and %d" % k) + b"WARC/1.1\r\n"
+        one = record(body)
+        one = gzip.compress(one) if zipped else one
+        fate = rng.random()
+        if fate < 0.1:
+            one = one[: rng.randrange(len(one))]
+        elif fate < 0.2:
+            at = rng.randrange(len(one))
+            one = one[:at] + bytes([one[at] ^ 0x15]) + one[at + 1 :]
+        elif fate < 0.3:
+            one += rng.randbytes(rng.randrange(1, 300))
+        parts.append(one)
+    return b"".join(parts)
+
+
+def test_units_of_a_file_give_what_one_walk_gives(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    want = {}
+    (tmp_path / "w").mkdir()
+    for k in range(8):
+        data = hurt_archive(rng, k % 2)
+        (tmp_path / "w" / f"{k}.warc").write_bytes(data)
+        want[str(k)] = sorted((p.offset, p.length, p.reason or "", p.payload() if p.reason is None else b"") for p in w.salvage(data))
+        assert sum(p[1] for p in want[str(k)]) == len(data)
+    for unit in (900, 6000):
+        found = w.read_archive(spark, f"file://{tmp_path}/w", unit)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.path.rsplit("/", 1)[1][:-5], []).append((r.offset, r.length, r.reason or "", bytes(r.payload or b"")))
+        assert {k: sorted(v) for k, v in got.items()} == want
+    logged = w.gaps(w.read_archive(spark, f"file://{tmp_path}/w", 5000))
+    assert logged.count() == sum(1 for v in want.values() for p in v if p[2])
+
+
+def test_a_large_archive_is_read_by_several_tasks(spark, tmp_path):
+    pages = spark.range(3000).selectExpr("id as page_id", "'http://a' as url", "repeat(concat('text ', id, ' '), 40) as html").coalesce(1)
+    w.write_archive(pages, f"file://{tmp_path}/w", records_per_file=100_000)
+    found = w.read_archive(spark, f"file://{tmp_path}/w", 64 << 10)
+    assert found.selectExpr("spark_partition_id() as p").distinct().count() > 4
+    assert found.where("reason is not null").count() == 0 and found.select("page_id").distinct().count() == found.count() == 3000
+
+
+def test_a_gap_stops_a_round_trip(spark, monkeypatch):
+    import pytest
+
+    real = w.write_archive
+
+    def hurt(pages, path, *rest):
+        real(pages.withColumn("url", F.lit("a")), path, *rest)
+        for file in __import__("pathlib").Path(path[len("file://") :]).glob("part-*"):
+            file.write_bytes(file.read_bytes().replace(b"Content-Length", b"Content-Lengt\xff", 1))
+
+    monkeypatch.setattr(w, "write_archive", hurt)
+    with pytest.raises(Exception, match="a gap in an archive just written"):
+        w.round_trip(spark.createDataFrame(ROWS, PAGE)).collect()
+
+
+def test_archives_that_only_spark_can_open(spark, tmp_path, monkeypatch):
+    w.write_archive(spark.createDataFrame(ROWS, PAGE), f"file://{tmp_path}/w")
+    monkeypatch.setattr(w, "readable", lambda listed: False)
+    assert w.read_archive(spark, f"file://{tmp_path}/w").where("reason is null").count() == len(ROWS)
