@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -63,6 +64,37 @@ def test_long_and_deep_pages():
     assert h.extract("<div>" * 20000 + f"<p>{PROSE}</p>") == PROSE
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<blockquote>word" * 20_000, "<table><tr><td>x" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<font><p>x" * 20_000, "<ul><li>x" * 20_000, "<span>" * 20_000 + PROSE + "</span>" * 20_000,
+        '<a "' * 30_000, "<a x='" * 30_000, "<a x='" * 30_000 + ">", "<a x=\"' " * 30_000 + ">", ('<a x="> ' + "<b y='") * 20_000, "<!-- " * 30_000, "<" * 200_000, "<script>" * 20_000, "<a " + 'x= "' * 50_000 + ">", "<a " * 50_000 + '"">',
+        '<div class="' + "ad-x " * 50_000 + '">x', "</b>" * 60_000 + "</p>" * 60_000, "&amp" * 60_000, "<p>x</b>" * 30_000,
+    ],
+)
+def test_deep_and_broken_markup_takes_linear_time(page):
+    start = time.process_time()
+    assert isinstance(h.extract(page), str)
+    assert time.process_time() - start < 5
+
+
+def test_quotes_hide_tag_ends():
+    assert h.extract('<p title="a > b" id=x>one</p>') == "one"
+    assert h.extract('<p title="never closed>one</p><p>two') == "one two"
+    assert h.extract("""<p it's>one</p> <p x = '<i>'>two""") == "one two"
+
+
+def test_lists_of_links_inside_an_article_go():
+    links = "".join(f'<li><a href="/{k}">Another page of this site</a></li>' for k in range(4))
+    page = f'<body><article><p>{PROSE}</p><ul>{links}</ul><ul><li>a point</li><li>a <a href="/x">linked</a> point</li></ul><p>{PROSE}</p></article></body>'
+    assert h.extract(page) == f"{PROSE} a point a linked point {PROSE}"
+
+
+def test_all_articles_of_a_page_are_kept():
+    page = f"<body>{NAV}<div>" + f"<article><h2>Head</h2><p>{PROSE}</p><p>{PROSE}</p></article>" * 3 + "<article><a href=x>teaser</a></article></div></body>"
+    assert h.extract(page) == " ".join([f"Head {PROSE} {PROSE}"] * 3)
+
+
 def test_awkward_rows(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>x</p>"), (1, "u", PAGE)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(0))
