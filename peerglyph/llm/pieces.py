@@ -2,19 +2,18 @@
 
 The search goes over a text from left to right. Each place holds its best way there: its score, and the
 piece it ends with as a back pointer. For a unigram model the score is the sum of the pieces' scores. For
-a BPE model the ids must be those of merging, which sums can't express; there a step is allowed only from
-a piece that stays apart from the new one when the two are merged as a text of their own. A sequence whose
-neighbours all stay apart is what merging the whole gives, so one way to each place is left.
+a BPE model the ids must be those of merging, which sums can't express; there a step from one piece to the
+next costs nothing if the vocabulary lets the two stay apart (their joined text merges into just these two)
+and is impossible else. A sequence whose neighbours all stay apart is what merging the whole gives, so one
+way to each place is left.
 
-Only a window of the longest piece can still change. Where no piece that began earlier reaches further, or
-where the back pointers of all places in the window meet, every surviving path goes through one boundary,
-and the ids before it are committed.
+Only a window of the longest piece can still change. Whenever the back pointers of all surviving paths meet
+in one boundary, the ids before it are committed.
 
-Such boundaries are certain before a word mark if no piece holds a mark after another character, and
-around characters that no longer piece holds. What stands between two of them is a segment whose ids
-depend on nothing else, so segments are encoded once and remembered (a bounded number of them). In a BPE
-model runs of marks are merged outright: their pieces have equal scores, so that who merges first depends
-on places, not on neighbours alone.
+Some boundaries are certain beforehand: before a word mark if no piece holds a mark after another character,
+around characters that no longer piece holds, and at sides of signs where no piece crosses them. What stands
+between two of them is a segment whose ids depend on nothing else, so segments are searched once and
+remembered (a bounded number of them).
 
 Defined results: a null or empty text has no ids; a text of any length is read whole, in memory that its
 longest stretch without a boundary bounds; characters without a piece become byte pieces; decoding gives
@@ -25,6 +24,7 @@ table gives an empty result; other columns are passed through or left out as sai
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -102,6 +102,13 @@ class Vocabulary:
             known = self._apart[key] = merged("".join(want), self) == want
         return known
 
+    @classmethod
+    def ranked(cls, path: str) -> Vocabulary:
+        """A unigram model by rule: a file's pieces, each with a score of minus the log of its number."""
+        found = cls.load(path, True)
+        kinds = ["normal" if found.ids.get(t) == k else "byte" if k in (found.bytes or ()) else "unknown" if k == found.unknown else "control" for k, t in enumerate(found.texts)]
+        return cls([(t, -math.log(k + 1), kind) for k, (t, kind) in enumerate(zip(found.texts, kinds, strict=True))], False)
+
     @classmethod
     def load(cls, path: str, merges: bool) -> Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -144,112 +151,84 @@ def merged(text: str, vocabulary: Vocabulary) -> list[str]:
 def commits(text: str, vocabulary: Vocabulary) -> Iterator[list[tuple[int, int]]]:
     """The best segmentation in commits, each a list of (end, id); a negative id is an unknown character.
 
-    On equal scores the piece that begins first stays. ``score`` and ``back`` hold the places from the
-    last committed boundary on; the window of places that can still change is one longest piece.
+    Places and their back pointers are a tree. A place is a leaf while pieces may still begin there; one that
+    none began at is cut off, and its way back with it. As soon as the last committed boundary has a single
+    branch, all surviving paths go through that branch's place, which is committed. What is held are the places
+    from the last boundary on; a place that no piece reaches any more is at most one longest piece back.
+    On equal scores the piece that begins first stays.
     """
-    trie, scores, longest, merges = vocabulary.trie, vocabulary.scores, vocabulary.longest, vocabulary.merges
-    apart, known, size = vocabulary.apart, vocabulary._apart.get, len(vocabulary)
-    base, reach, n = 0, 0, len(text)
+    trie, scores, merges = vocabulary.trie, vocabulary.scores, vocabulary.merges
+    apart, known, size, unknown = vocabulary.apart, vocabulary._apart.get, len(vocabulary), vocabulary.unknown_score
+    base, off, n = 0, 0, len(text)  # the last boundary, and the place that the lists begin with
     score: list[float | None] = [0.0]
-    back: list[tuple[int, int]] = [(0, -1)]
-
-    def trace(at: int, to: int) -> list[tuple[int, int]]:
-        out = []
-        while at > to:
-            begin, piece = back[at - base]
-            out.append((at, piece))
-            at = begin
-        return out[::-1]
+    back, last, branches, sums = [0], [-1], [0], [0]  # where the best way's last piece begins, its id, branches and the sum of their places
+
+    def cut(place: int) -> None:
+        """Take off a place without branches, and those before it that had no other."""
+        while place > base:
+            before = back[place - off]
+            branches[before - off] -= 1
+            sums[before - off] -= place
+            if branches[before - off]:
+                break
+            place = before
 
     for at in range(n):
-        if at == reach and at > base:  # no earlier piece goes beyond: all paths meet here
-            yield trace(at, base)
-            score, back, base = [0.0], [back[at - base]], at
-        elif at - base >= 4 * longest and (at - base) % longest == 0:  # do the paths of the window meet?
-            live = {p for p in range(at, reach + 1) if score[p - base] is not None}
-            while len(live) > 1:
-                top = max(live)
-                live.remove(top)
-                live.add(back[top - base][0])
-            meet = live.pop()
-            if base < meet <= at:
-                yield trace(meet, base)
-                del score[: meet - base], back[: meet - base]
-                base = meet
-        here = score[at - base]
+        here = score[at - off]
         if here is None:
             continue
-        last = back[at - base][1]
-        node = trie.get(text[at])
-        found = [] if node is not None and "" in node else [(at + 1, -1)]  # an unknown character
-        end = at + 1
-        while node is not None:
-            if "" in node:
-                found.append((end, node[""]))
-            if end == n:
+        left, node, end = last[at - off], trie.get(text[at]), at + 1
+        found = -1 if node is None or "" not in node else None  # an unknown character is a step of its own
+        while True:
+            piece = found if found is not None else node.get("")
+            found = None
+            if piece is not None:
+                place = end - off
+                while len(score) <= place:
+                    score.append(None)
+                    back.append(0)
+                    last.append(-1)
+                    branches.append(0)
+                    sums.append(0)
+                old = score[place]
+                if merges:
+                    way = 0.0 if old is None and (piece < 0 or (apart(left, piece) if (ok := known(left * size + piece)) is None else ok)) else None
+                else:
+                    way = here + (scores[piece] if piece >= 0 else unknown)
+                    way = way if old is None or way > old else None
+                if way is not None:
+                    if old is not None:
+                        before = back[place] - off
+                        branches[before] -= 1
+                        sums[before] -= end
+                        if not branches[before] and before + off < at:
+                            cut(before + off)
+                    score[place], back[place], last[place] = way, at, piece
+                    branches[at - off] += 1
+                    sums[at - off] += end
+            if node is None or end == n:
                 break
             node = node.get(text[end])
-            end += 1
-        for end, piece in found:
-            place = end - base
-            while len(score) <= place:
-                score.append(None)
-                back.append((0, -1))
-            if merges:
-                if score[place] is None and (piece < 0 or (apart(last, piece) if (ok := known(last * size + piece)) is None else ok)):
-                    score[place], back[place] = 0.0, (at, piece)
-                    reach = max(reach, end)
-            else:
-                way = here + (scores[piece] if piece >= 0 else vocabulary.unknown_score)
-                if score[place] is None or way > score[place]:
-                    score[place], back[place] = way, (at, piece)
-                reach = max(reach, end)
-    if n:
-        yield trace(n, base)
-
-
-def settle(text: str, vocabulary: Vocabulary) -> list[int]:
-    """``commits`` of a BPE model for a text that is no longer than the window, all at once."""
-    trie, apart, known, size, n = vocabulary.trie, vocabulary.apart, vocabulary._apart.get, len(vocabulary), len(text)
-    last: list[int | None] = [None] * (n + 1)  # the piece that the way to a place ends with
-    begin = [0] * (n + 1)
-    last[0] = -1
-    for at in range(n):
-        left = last[at]
-        if left is None:
-            continue
-        node = trie.get(text[at])
-        if (node is None or "" not in node) and last[at + 1] is None:
-            last[at + 1], begin[at + 1] = -1, at
-        end, row = at, left * size
-        while node is not None:
-            end += 1
-            if last[end] is None and (piece := node.get("")) is not None and (apart(left, piece) if (ok := known(row + piece)) is None else ok):
-                last[end], begin[end] = piece, at
-            if end == n:
+            if node is None:
                 break
-            node = node.get(text[end])
-    out, at = [], n
-    while at:
-        out.append(last[at] if last[at] >= 0 else -at)
-        at = begin[at]
-    return out[::-1]
+            end += 1
+        if not branches[at - off]:
+            cut(at)
+        if branches[base - off] == 1:
+            out = []
+            while base <= at and branches[base - off] == 1:
+                base = sums[base - off]
+                out.append((base, last[base - off]))
+            yield out
+            if base - off > 256:
+                gone = base - off
+                del score[:gone], back[:gone], last[:gone], branches[:gone], sums[:gone]
+                off = base
 
 
 def encode_segment(text: str, vocabulary: Vocabulary) -> list[int]:
     out: list[int] = []
-    if vocabulary.merges and len(text) <= vocabulary.longest and MARK * 2 not in text:
-        for piece in settle(text, vocabulary):  # an unknown character is given by its end, negative
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out += [vocabulary.unknown] if vocabulary.bytes is None else [vocabulary.bytes[b] for b in text[-piece - 1].encode("utf-8", "surrogatepass")]
-        return out
-    if vocabulary.merges and MARK * 2 in text:
-        ways: Iterator[list[tuple[int, int]]] = iter([_placed(merged(text, vocabulary), vocabulary)])
-    else:
-        ways = commits(text, vocabulary)
-    for part in ways:
+    for part in commits(text, vocabulary):
         for end, piece in part:
             if piece >= 0:
                 out.append(piece)
@@ -260,11 +239,6 @@ def encode_segment(text: str, vocabulary: Vocabulary) -> list[int]:
     return out
 
 
-def _placed(parts: list[str], vocabulary: Vocabulary) -> list[tuple[int, int]]:
-    ends = np.cumsum(list(map(len, parts))).tolist()
-    return [(end, vocabulary.ids.get(part, -1)) for end, part in zip(ends, parts, strict=True)]
-
-
 class Encoder(dict):
     """Remembers segments: text to ids as bytes. Forgets all of them when there are too many."""
 

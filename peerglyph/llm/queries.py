@@ -122,6 +122,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model, merges=True))
 
 
+@query
+def unigram_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    """The same search where scores decide: a unigram model by rule, over the turns of conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return pieces.encode(turns, pieces.Vocabulary.ranked(model), ["conv_id", "turn"])
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS, end: int = RANKS_END) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenfiles.Tokenizer.load(ranks, end))
