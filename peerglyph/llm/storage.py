@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and everything runs in one process (tests) a temporary folder is made and set; on
+    a cluster each machine would see another one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="peerglyph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

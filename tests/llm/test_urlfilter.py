@@ -23,9 +23,9 @@ def judged(rows, rules, default="allow"):
     out = []
     for i, url, *_ in rows:
         host, path = split(url)
-        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule = max(fits, default=None)
-        out.append((i, host, path, rule[1] if rule else None, rule[2] if rule else default))
+        out.append((i, host, path, rule[2] if rule else None, rule[1] if rule else default))
     return sorted(out, key=str)
 
 
@@ -57,6 +57,30 @@ def test_random_rules(spark):
     assert got == judged(list(enumerate(urls)), rules, "block")
 
 
+def test_the_join_is_on_the_prefix_and_the_digest_confirms(spark, monkeypatch):
+    """With a prefix of one digit nearly all expressions meet some rule; the verdicts stay the same."""
+    plan = u.judge(rows_of(spark, URLS), u.rule_table(spark, URL_RULES))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and all("prefix" in line and "digest" not in line and "host" not in line for line in joins)
+    want = judged(list(enumerate(URLS)), URL_RULES)
+    monkeypatch.setattr(u, "PREFIX_DIGITS", 1)
+    pages = rows_of(spark, URLS)
+    assert sorted((tuple(r) for r in u.judge(pages, u.rule_table(spark, URL_RULES)).collect()), key=str) == want
+
+
+def test_many_path_lengths_of_one_host_cost_other_hosts_nothing(spark):
+    rules = [("block", "big.org", "/" + "a" * k) for k in range(200)] + [("allow", "x.com", "/")]
+    urls = ["http://www.big.org/" + "a" * 150 + "b", "http://x.com/" + "a" * 300, "http://other.net/" + "a" * 300]
+    got = sorted((tuple(r) for r in u.judge(rows_of(spark, urls), u.rule_table(spark, rules)).collect()), key=str)
+    assert got == judged(list(enumerate(urls)), rules)
+
+
+def test_a_url_that_many_rows_share(spark):
+    pages = spark.range(20_000).selectExpr("id % 3 as page_id", "'http://a.example.org/es/' as url")
+    got = u.judge(pages, u.rule_table(spark, URL_RULES)).groupBy("page_id", "rule", "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [(0, "example.org/es/", "block", 6667), (1, "example.org/es/", "block", 6667), (2, "example.org/es/", "block", 6666)]
+
+
 def test_plan_is_native(spark):
     plan = u.judge(rows_of(spark, URLS), u.rule_table(spark, URL_RULES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
