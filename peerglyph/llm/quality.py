@@ -18,12 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import column_bytes, counts_between, map_text, mix, row_of, runs, span_hashes, window_hashes, window_starts
+from .textkit import SPACE, column_bytes, counts_between, map_text, mix, row_of, runs, span_hashes, window_hashes, window_starts
 
 FEATURES = ("bias", "symbols", "marks", "capitals", "bars", "digits", "short", "long_words", "repeated")
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
+#: Sets of bytes whose share is a feature of a line, and those that begin a code point.
+_BYTES = np.arange(256)
+MARKS, BARS, CAPITALS, DIGITS = _BYTES == 0x21, _BYTES == 0x7C, (_BYTES >= 0x41) & (_BYTES <= 0x5A), (_BYTES >= 0x30) & (_BYTES <= 0x39)
+POINTS = (_BYTES & 0xC0) != 0x80
+BLOCK = 512  # lines that the search goes over one after another
 
 
 @dataclass
@@ -43,7 +48,7 @@ class Lines:
         self.buf, self.offs = buf, offs = column_bytes(column)
         self.starts, self.ends, self.first = runs(buf, offs)
         self.hashes = span_hashes(buf, self.starts, self.ends)
-        breaks = np.flatnonzero(buf == 0x0A)
+        breaks = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(buf[k : k + (1 << 20)] == 0x0A) + k for k in range(0, len(buf), 1 << 20))])
         rows = len(offs) - 1
         #: a text with n line breaks has n + 1 lines
         n_breaks = np.searchsorted(breaks, offs[1:]) - np.searchsorted(breaks, offs[:-1])
@@ -76,14 +81,14 @@ class Lines:
         buf, low, high = self.buf, self.low, self.high
         size = np.maximum(high - low, 1)
         words = np.maximum(self.words, 1)
-        share = lambda flags: counts_between(flags, low, high) / size
+        share = lambda table: counts_between(buf, table, low, high) / size
         out = np.empty((len(low), len(FEATURES)), np.float32)
         out[:, 0] = 1
-        out[:, 1] = np.minimum(1, 5 * share(SYMBOLS[buf]))
-        out[:, 2] = np.minimum(1, 5 * share(buf == 0x21))
-        out[:, 3] = share((buf >= 0x41) & (buf <= 0x5A))
-        out[:, 4] = np.minimum(1, 8 * share(buf == 0x7C))
-        out[:, 5] = share((buf >= 0x30) & (buf <= 0x39))
+        out[:, 1] = np.minimum(1, 5 * share(SYMBOLS))
+        out[:, 2] = np.minimum(1, 5 * share(MARKS))
+        out[:, 3] = share(CAPITALS)
+        out[:, 4] = np.minimum(1, 8 * share(BARS))
+        out[:, 5] = share(DIGITS)
         out[:, 6] = self.words < 4
         out[:, 7] = np.minimum(1, size / words / 20)
         out[:, 8] = self.repeated
@@ -95,31 +100,35 @@ class Lines:
         at = window_starts(self.first, WINDOW)
         if not len(at):
             return np.zeros(rows, np.int64)
-        row = row_of(self.first)
-        key = mix(window_hashes(self.hashes, WINDOW)[at] + mix(row[at].astype(np.uint64)))
+        key = window_hashes(self.hashes, WINDOW)[at]
+        if rows > 1:
+            key = mix(key + mix(row_of(self.first)[at].astype(np.uint64)))
         order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
+        key = key[order]
+        same = key[1:] == key[:-1]
+        del key
         twice = np.zeros(len(at), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        cover = np.zeros(len(self.starts) + 1, np.int32)
-        hit = at[order[twice]]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + WINDOW, -1)
-        return counts_between(np.cumsum(cover[:-1]) > 0, self.first[:-1], self.first[1:])
+        begins = np.zeros(len(self.starts), bool)  # words that such a window begins with
+        begins[at[order[twice]] if rows > 1 else order[twice]] = True
+        del at, order, same, twice
+        covered = begins.copy()
+        for k in range(1, WINDOW):
+            covered[k:] |= begins[:-k]
+        total = np.zeros(len(self.starts) + 1, np.int32)
+        np.cumsum(covered, out=total[1:])
+        return (total[self.first[1:]] - total[self.first[:-1]]).astype(np.int64)
 
     def base(self) -> dict[str, np.ndarray]:
         buf, offs, low, high = self.buf, self.offs, self.offs[:-1], self.offs[1:]
-        inside = np.zeros(len(buf) + 1, np.int8)
-        np.add.at(inside, self.starts, 1)
-        np.add.at(inside, self.ends, -1)
-        in_word = np.cumsum(inside[:-1], dtype=np.int8) > 0
         n_words = np.diff(self.first)
         repeat = self.repeat_words()
         return {
             "n_words": n_words,
-            "word_chars": counts_between(in_word & ((buf & 0xC0) != 0x80), low, high),
-            "n_symbols": counts_between(SYMBOLS[buf], low, high),
+            # separators are code points of one byte: what isn't one stands in a word
+            "word_chars": counts_between(buf, POINTS & ~SPACE, low, high),
+            "n_symbols": counts_between(buf, SYMBOLS, low, high),
             "n_dup_lines": np.bincount(self.line_row[self.repeated], minlength=len(offs) - 1),
             "n_repeat_words": repeat,
             "base_failed": (n_words < 20) | (100 * repeat > 30 * n_words),
@@ -135,32 +144,74 @@ def _padded(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, alive
 
 
-def viterbi(scores: np.ndarray, first: np.ndarray, model: LineModel) -> np.ndarray:
+def _way(before: np.ndarray, model: LineModel) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores of the two states after a step, and whether each came from boilerplate. Ties go to content."""
+    way = before[..., :, None] + model.transition  # from, to
+    take = way[..., 1, :] > way[..., 0, :]
+    return np.where(take, way[..., 1, :], way[..., 0, :]), take
+
+
+def viterbi(scores: np.ndarray, first: np.ndarray, model: LineModel, block: int = BLOCK) -> np.ndarray:
     """The best state of each line; ``scores`` has a row for each line and a column for each state.
 
-    Runs over line numbers, with all texts that still have a line side by side. Ties go to content.
+    Runs over line numbers, with all texts side by side. A text of more than ``block`` lines is cut: a block's
+    best scores from either state of its first line to either state of its last one are worked out beside the
+    others', so that only blocks, not lines, follow one another.
     """
-    order, alive = _padded(first)
-    begin, sizes = first[:-1][order], np.diff(first)[order]
-    back = np.zeros((len(scores), 2), np.int8)
-    best = np.empty((len(order), 2))
-    for t, n in enumerate(alive.tolist()):
-        at = begin[:n] + t
+    n = len(scores)
+    sizes = np.diff(first)
+    parts = -(-sizes // block)
+    low = np.repeat(first[:-1], parts) + block * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    high = np.minimum(low + block, np.repeat(first[1:], parts))
+    head = np.zeros(len(low) + 1, bool)
+    head[-1] = True
+    head[(np.cumsum(parts) - parts)[parts > 0]] = True
+    follows = ~head[1:]  # the next block is of the same text
+    order, alive = _padded(np.concatenate([[0], np.cumsum(high - low)]))
+    low, high, follows = low[order], high[order], follows[order]
+    enter = np.tile(model.start, (len(low), 1))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))  # of each block in its text's order
+    chain = place[np.flatnonzero(~head[1:])].tolist(), place[np.flatnonzero(~head[1:]) + 1].tolist()
+    if chain[0]:
+        some = np.flatnonzero(follows)  # blocks with a follower are full
+        best = np.where(np.eye(2, dtype=bool), scores[low[some]][:, None, :], -np.inf)
+        for t in range(1, block):
+            best = _way(best, model)[0] + scores[low[some] + t][:, None, :]
+        leave = dict(zip(some.tolist(), best, strict=True))
+        for here, after in zip(*chain, strict=True):
+            enter[after] = _way((enter[here][:, None] + leave[here]).max(axis=0), model)[0]
+    back = np.zeros((n, 2), np.int8)
+    best = np.empty((len(low), 2))
+    for t, m in enumerate(alive.tolist()):
+        at = low[:m] + t
         if t == 0:
-            best[:n] = model.start + scores[at]
+            best[:m] = enter + scores[at]
             continue
-        way = best[:n, :, None] + model.transition  # from, to
-        take = way[:, 1, :] > way[:, 0, :]
+        best[:m], take = _way(best[:m], model)
         back[at] = take
-        best[:n] = np.where(take, way[:, 1, :], way[:, 0, :]) + scores[at]
-    states = np.zeros(len(scores), np.int8)
-    now = (best[:, 1] > best[:, 0]).astype(np.int8) if len(order) else np.zeros(0, np.int8)
+        best[:m] += scores[at]
+    last = (best[:, 1] > best[:, 0]).astype(np.int8)
+    # ways back from either last state of a block, then the state of each block's end from the block after it
+    states = np.zeros((n, 2), np.int8)
+    now = np.tile(np.array([0, 1], np.int8), (len(low), 1))
     for t in range(len(alive) - 1, -1, -1):
-        at = begin[: alive[t]] + t
-        here = now[: alive[t]]
-        states[at] = here
-        now[: alive[t]] = back[at, here]
-    return states
+        m = alive[t]
+        at = low[:m] + t
+        states[at] = now[:m]
+        now[:m] = np.take_along_axis(back[at], now[:m].astype(np.int64), axis=1)
+    for here, after in zip(chain[0][::-1], chain[1][::-1], strict=True):
+        last[here] = _way(best[here], model)[1][states[low[after], last[after]]]
+    chosen = np.repeat(last, high - low)
+    lines = np.repeat(low, high - low) + _ramp(high - low)
+    out = np.empty(n, np.int8)
+    out[lines] = states[lines, chosen]
+    return out
+
+
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size in turn."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def marginals(scores: np.ndarray, first: np.ndarray, model: LineModel, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, max_lines: int =
 
     ``labels`` has doc_id and quality (1 good, 0 bad); rows with a null are no examples. The sample is
     the documents with the smallest hash of their id, so it is the same at every run; a document with
-    more than ``max_lines`` lines isn't learnt from. Without examples of both classes the field is all
+    more than ``max_lines`` lines isn't learnt from, and of several texts with one id the smallest is. Without examples of both classes the field is all
     zeros, which calls every line content.
     """
     spark = docs.sparkSession
@@ -239,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, max_lines: int =
         return LineModel(content_share=content_share)
     # two columns of at most 2 * sample rows
     picked = F.broadcast(spark.createDataFrame(chosen, "k_id long, k_quality int"))
-    texts = docs.select(F.col("doc_id").alias("k_id"), F.col("text").alias("k_text")).join(picked, "k_id")
+    texts = docs.select(F.col("doc_id").alias("k_id"), F.col("text").alias("k_text")).join(picked, "k_id").groupBy("k_id", "k_quality").agg(F.min("k_text").alias("k_text"))
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(batch.column("k_text"))

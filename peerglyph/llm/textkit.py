@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20  # text that is worked on at once
 BATCH_ROWS = 1024
 _SPAN = 1 << 18  # bytes hashed at once
+_STRETCH = 1 << 20  # bytes or words looked at once
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -71,17 +72,31 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offs[0] :], offs - offs[0]
 
 
+def _edges(buf: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in ``buf``, found in stretches so that no array has many bytes a byte."""
+    starts, ends, before = [], [], False
+    for low in range(0, len(buf), _STRETCH):
+        inside = np.empty(min(_STRETCH, len(buf) - low) + 1, np.int8)
+        inside[0] = before
+        np.logical_not(separators[buf[low : low + _STRETCH]], out=inside[1:], casting="unsafe")
+        turn = np.diff(inside)
+        starts.append(np.flatnonzero(turn == 1) + low)
+        ends.append(np.flatnonzero(turn == -1) + low)
+        before = bool(inside[-1])
+    if before:
+        ends.append(np.array([len(buf)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends])
+
+
 def runs(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the first word of each row (one more at the end)."""
-    inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~separators[buf]
-    turn = np.diff(inside)
-    starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    starts, ends = _edges(buf, separators)
     cuts = offs[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(buf))]
     if len(cuts):  # two rows that touch without a separator
         cuts = np.unique(cuts)
-        cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
+        cuts = cuts[~separators[buf[cuts - 1]] & ~separators[buf[cuts]]]
         if len(cuts):
             starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
     return starts, ends, np.searchsorted(starts, offs)
@@ -93,20 +108,40 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def nested_hashes(buf: np.ndarray, starts: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
-    """Hashes of several spans from each start, out of one pass over the bytes; the first ends are the farthest."""
-    out = [np.empty(len(starts), np.uint64) for _ in ends]
-    at = 0
-    while at < len(starts):
+    """Hashes of several spans from each start, out of one pass over the bytes; the first ends are the farthest.
+
+    A span longer than ``_SPAN`` is summed in pieces.
+    """
+    sums = [np.empty(len(starts), np.uint64) for _ in ends]
+    long = np.flatnonzero(ends[0] - starts > _SPAN)
+    for k in long.tolist():
+        for total, stops in zip(sums, ends, strict=True):
+            total[k] = _long_sum(buf, int(starts[k]), int(stops[k]))
+    edges = np.concatenate([[-1], long, [len(starts)]])
+    for a, b in zip((edges[:-1] + 1).tolist(), edges[1:].tolist(), strict=True):
+        _short_sums(buf, starts, ends, sums, a, b)
+    return [mix(h ^ (stops - starts).astype(np.uint64)) for h, stops in zip(sums, ends, strict=True)]
+
+
+def _long_sum(buf: np.ndarray, low: int, high: int) -> np.uint64:
+    whole = 0
+    for at in range(low, high, _SPAN):
+        part = _TABLE[buf[at : min(high, at + _SPAN)]]
+        whole += int((part * powers(0, len(part))).sum(dtype=np.uint64)) * pow(_BASES[0], at - low, 2**64)
+    return np.uint64(whole % 2**64)
+
+
+def _short_sums(buf: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], sums: list[np.ndarray], at: int, stop: int) -> None:
+    while at < stop:
         low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, low + _SPAN)))
+        to = min(stop, max(at + 1, int(np.searchsorted(starts, low + _SPAN))))
         s = starts[at:to] - low
         top = int(ends[0][at:to].max()) - low
         total = np.zeros(top + 1, np.uint64)
         np.cumsum(_TABLE[buf[low : low + top]] * powers(0, top), out=total[1:])
-        for hashes, stops in zip(out, ends, strict=True):
+        for hashes, stops in zip(sums, ends, strict=True):
             hashes[at:to] = (total[stops[at:to] - low] - total[s]) * powers(0, top + 1, True)[s]
         at = to
-    return [mix(h ^ (stops - starts).astype(np.uint64)) for h, stops in zip(out, ends, strict=True)]
 
 
 def window_hashes(words: np.ndarray, size: int, which: int = 1) -> np.ndarray:
@@ -114,9 +149,14 @@ def window_hashes(words: np.ndarray, size: int, which: int = 1) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers(which, len(words)), out=total[1:])
-    return mix((total[size:] - total[:n]) * powers(which, n, True))
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, _STRETCH):  # a window's hash doesn't depend on where sums begin
+        part = words[at : at + _STRETCH + size - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers(which, len(part)), out=total[1:])
+        m = len(part) - size + 1
+        out[at : at + m] = mix((total[size:] - total[:m]) * powers(which, m, True))
+    return out
 
 
 def window_starts(first: np.ndarray, size: int) -> np.ndarray:
@@ -134,11 +174,24 @@ def row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def counts_between(flags: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """How many flags are set in each half-open range."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[high] - total[low]
+def counts_between(buf: np.ndarray, table: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many bytes with a mark in ``table`` stand in each half-open range; ranges come in order, low and high."""
+    return _counts_before(buf, table, high) - _counts_before(buf, table, low)
+
+
+def _counts_before(buf: np.ndarray, table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out, done = np.zeros(len(places), np.int64), 0
+    for at in range(0, len(buf), _STRETCH):
+        part = table[buf[at : at + _STRETCH]]
+        a, b = np.searchsorted(places, [at, at + len(part)], "right")  # places in (at, at + len]
+        if a < b:
+            total = np.cumsum(part, dtype=np.int32)
+            out[a:b] = done + total[places[a:b] - at - 1]
+            done += int(total[-1])
+        else:
+            done += int(np.count_nonzero(part))
+    out[np.searchsorted(places, len(buf), "right") :] = done
+    return out
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

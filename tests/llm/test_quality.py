@@ -77,6 +77,61 @@ def test_viterbi_and_marginals_against_all_paths():
     assert np.allclose(pair, want_pair) and np.allclose(begin, want_begin)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_blocks_of_long_texts_give_the_same_states(block):
+    for _ in range(30):
+        m = model()
+        sizes = RNG.integers(1, 25, RNG.integers(1, 6))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        scores = RNG.normal(size=(first[-1], 2)) * 3
+        assert (q.viterbi(scores, first, m, block) == q.viterbi(scores, first, m)).all()
+    assert len(q.viterbi(np.zeros((0, 2)), np.zeros(1, np.int64), model(), block)) == 0
+
+
+def test_very_long_texts():
+    import time
+    import tracemalloc
+
+    m = model()
+    start = time.process_time()
+    for text, words in (("a line of it\n" * 300_000, 1_200_000), (" " * 32_000_000, 0), ("x" * 32_000_000, 1), ("word and more " * 1_000_000, 3_000_000)):
+        column = pa.array([text])
+        tracemalloc.start()
+        assert q.verdicts(column, m)["n_words"].tolist() == [words]
+        assert tracemalloc.get_traced_memory()[1] < 350e6
+        tracemalloc.stop()
+    assert time.process_time() - start < 40
+
+
+def test_long_spans_hash_like_short_ones(monkeypatch):
+    from peerglyph.llm import textkit
+
+    buf = RNG.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.sort(RNG.integers(0, 4000, 50))
+    ends = np.minimum(starts + RNG.integers(0, 900, 50), 5000)
+    whole, (a, b) = textkit.span_hashes(buf, starts, ends), textkit.nested_hashes(buf, starts, [ends, (starts + ends) // 2])
+    words = RNG.integers(0, 2**63, 300).astype(np.uint64)
+    windows, edges = textkit.window_hashes(words, 8), textkit.runs(buf, np.array([0, 700, 701, 5000]))
+    places = np.sort(RNG.integers(0, 5001, 40))
+    counts = textkit.counts_between(buf, textkit.SPACE, places[:20], places[20:])
+    assert counts.tolist() == [int(textkit.SPACE[buf[i:j]].sum()) for i, j in zip(places[:20], places[20:], strict=True)]
+    monkeypatch.setattr(textkit, "_SPAN", 100)
+    monkeypatch.setattr(textkit, "_STRETCH", 37)
+    assert (textkit.span_hashes(buf, starts, ends) == whole).all() and (a == whole).all()
+    assert (textkit.nested_hashes(buf, starts, [ends, (starts + ends) // 2])[1] == b).all()
+    assert (textkit.window_hashes(words, 8) == windows).all()
+    assert all((x == y).all() for x, y in zip(textkit.runs(buf, np.array([0, 700, 701, 5000])), edges, strict=True))
+    assert textkit.counts_between(buf, textkit.SPACE, places[:20], places[20:]).tolist() == counts.tolist()
+
+
+def test_one_text_is_read_for_an_id(spark):
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat(concat(if(id % 2 = 0, 'some prose of it ', '*** ### '), '\n'), 5) as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as quality")
+    many = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(2000).select("id")).select("doc_id", "text"))
+    a, b = q.fit(docs, labels), q.fit(many, labels)
+    assert (a.emission == b.emission).all() and a.emission.any()
+
+
 def test_learns_junk_lines_from_document_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     m = q.fit(docs, labels)
