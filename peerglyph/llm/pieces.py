@@ -39,6 +39,8 @@ from .textkit import map_text
 
 MARK = "▁"
 MOST_REMEMBERED, LONGEST_REMEMBERED, MOST_NEIGHBOURS = 250_000, 64, 300_000
+_PANE = 4096  # characters that are looked at together
+_END = "\U0010ffff"  # no piece holds this
 UNKNOWN_PENALTY = 10.0
 
 
@@ -74,6 +76,8 @@ class Vocabulary:
         self.beside = "" if crossing else "[" + "".join(map(re.escape, sorted(beside))) + "]" if beside else ""
         sign = "".join(map(re.escape, sorted(signs)))
         self.fine_segments = self.segments if crossing else (f"[{alone}]|" if alone else "") + f"{MARK}*[{sign}]+|{MARK}*[^{MARK}{alone}{sign}]+|{MARK}+"
+        if any(_END in text for text in self.ids):
+            raise ValueError("a piece holds the character that marks the end of a pane")
         self._apart: dict[int, bool] = {}
         self._trie: dict | None = None
 
@@ -82,14 +86,15 @@ class Vocabulary:
 
     @property
     def trie(self) -> dict:
-        """Pieces by their characters; a piece's id stands under the empty string."""
+        """Pieces by their characters: for each, the id of what ends with it (-1 if that is no piece), and what may follow."""
         if self._trie is None:
-            self._trie = {}
+            nested: dict = {}
             for text, k in self.ids.items():
-                node = self._trie
+                node = nested
                 for c in text:
                     node = node.setdefault(c, {})
                 node[""] = k
+            self._trie = _nodes(nested)
         return self._trie
 
     def apart(self, left: int, right: int) -> bool:
@@ -119,6 +124,10 @@ class Vocabulary:
         return len(self.scores)
 
 
+def _nodes(nested: dict) -> dict:
+    return {c: (node.get("", -1), _nodes(node)) for c, node in nested.items() if c}
+
+
 def merged(text: str, vocabulary: Vocabulary) -> list[str]:
     """Merge the neighbours with the best-scored joint piece, leftmost first, until none is left."""
     ids, scores = vocabulary.ids, vocabulary.scores
@@ -157,73 +166,91 @@ def commits(text: str, vocabulary: Vocabulary) -> Iterator[list[tuple[int, int]]
     from the last boundary on; a place that no piece reaches any more is at most one longest piece back.
     On equal scores the piece that begins first stays.
     """
-    trie, scores, merges = vocabulary.trie, vocabulary.scores, vocabulary.merges
+    trie, ids, scores, merges, longest = vocabulary.trie, vocabulary.ids, vocabulary.scores, vocabulary.merges, vocabulary.longest
     apart, known, size, unknown = vocabulary.apart, vocabulary._apart.get, len(vocabulary), vocabulary.unknown_score
-    base, off, n = 0, 0, len(text)  # the last boundary, and the place that the lists begin with
-    score: list[float | None] = [0.0]
-    back, last, branches, sums = [0], [-1], [0], [0]  # where the best way's last piece begins, its id, branches and the sum of their places
-
-    def cut(place: int) -> None:
-        """Take off a place without branches, and those before it that had no other."""
-        while place > base:
-            before = back[place - off]
-            branches[before - off] -= 1
-            sums[before - off] -= place
-            if branches[before - off]:
-                break
-            place = before
-
-    for at in range(n):
-        here = score[at - off]
-        if here is None:
-            continue
-        left, node, end = last[at - off], trie.get(text[at]), at + 1
-        found = -1 if node is None or "" not in node else None  # an unknown character is a step of its own
-        while True:
-            piece = found if found is not None else node.get("")
-            found = None
-            if piece is not None:
-                place = end - off
-                while len(score) <= place:
-                    score.append(None)
-                    back.append(0)
-                    last.append(-1)
-                    branches.append(0)
-                    sums.append(0)
-                old = score[place]
-                if merges:
-                    way = 0.0 if old is None and (piece < 0 or (apart(left, piece) if (ok := known(left * size + piece)) is None else ok)) else None
-                else:
-                    way = here + (scores[piece] if piece >= 0 else unknown)
-                    way = way if old is None or way > old else None
-                if way is not None:
-                    if old is not None:
-                        before = back[place] - off
-                        branches[before] -= 1
-                        sums[before] -= end
-                        if not branches[before] and before + off < at:
-                            cut(before + off)
-                    score[place], back[place], last[place] = way, at, piece
-                    branches[at - off] += 1
-                    sums[at - off] += end
-            if node is None or end == n:
-                break
-            node = node.get(text[end])
-            if node is None:
-                break
-            end += 1
-        if not branches[at - off]:
-            cut(at)
-        if branches[base - off] == 1:
-            out = []
-            while base <= at and branches[base - off] == 1:
-                base = sums[base - off]
-                out.append((base, last[base - off]))
-            yield out
-            if base - off > 256:
-                gone = base - off
-                del score[:gone], back[:gone], last[:gone], branches[:gone], sums[:gone]
-                off = base
+    off, base, begin, n = 0, 0, 0, len(text)  # the pane's first place; in the pane: the last boundary, the place to go on
+    # of a pane's places: the id of the best way's last piece (none: not reached), where that begins, the way's
+    # score, branches and the sum of their places
+    last: list[int | None] = [-1]
+    back, score, branches, sums = [0], [0.0], [0], [0]
+    pane = _PANE
+    while True:
+        view = text[off : off + pane] + _END
+        held = len(view)
+        ends = off + held > n
+        more = held - len(last)
+        last += [None] * more
+        back += [0] * more
+        branches += [0] * more
+        sums += [0] * more
+        if not merges:
+            score += [0.0] * more
+        stop = held - 1 if ends else held - longest
+        for at in range(begin, stop):
+            left = last[at]
+            if left is None:
+                continue
+            children, end, mine, total, cut = trie, at, 0, 0, at == base
+            if merges:
+                row = left * size
+                while (node := children.get(view[end])) is not None:
+                    piece, children = node
+                    end += 1
+                    if piece >= 0 and last[end] is None and (apart(left, piece) if (ok := known(row + piece)) is None else ok):
+                        last[end], back[end] = piece, at
+                        mine += 1
+                        total += end
+                if last[at + 1] is None and view[at] not in ids:  # an unknown character is a step of its own
+                    last[at + 1], back[at + 1] = -1, at
+                    mine += 1
+                    total += at + 1
+            else:
+                here = score[at]
+                found = [] if view[at] in ids else [(at + 1, -1, here + unknown)]
+                while (node := children.get(view[end])) is not None:
+                    piece, children = node
+                    end += 1
+                    if piece >= 0:
+                        found.append((end, piece, here + scores[piece]))
+                for end, piece, way in found:
+                    if last[end] is not None:
+                        if way <= score[end]:
+                            continue
+                        cut |= _leave(end, back, branches, sums, base)  # the place leaves its former branch
+                    score[end], last[end], back[end] = way, piece, at
+                    mine += 1
+                    total += end
+            if mine:
+                branches[at], sums[at] = mine, total
+            else:
+                cut |= _leave(at, back, branches, sums, base)
+            if cut and branches[base] == 1:
+                out = []
+                while base <= at and branches[base] == 1:
+                    base = sums[base]
+                    out.append((base + off, last[base]))
+                yield out
+        if ends:
+            return
+        # the next pane begins with the last boundary
+        pane = max(_PANE, 2 * (stop - base) + longest)
+        off, begin = off + base, stop - base
+        last, back, branches, sums = last[base:], [x - base for x in back[base:]], branches[base:], [x - base * k for x, k in zip(sums[base:], branches[base:], strict=True)]
+        score, base = score[base:], 0
+
+
+def _leave(place: int, back: list[int], branches: list[int], sums: list[int], base: int) -> bool:
+    """Take a place off its branch, and those before it that had no other and are done with; always true."""
+    while place > base:
+        before = back[place]
+        if not branches[before]:  # the place at work: its branches aren't counted yet
+            break
+        branches[before] -= 1
+        sums[before] -= place
+        if branches[before]:
+            break
+        place = before
+    return True
 
 
 def encode_segment(text: str, vocabulary: Vocabulary) -> list[int]:
@@ -240,18 +267,22 @@ def encode_segment(text: str, vocabulary: Vocabulary) -> list[int]:
 
 
 class Encoder(dict):
-    """Remembers segments: text to ids as bytes. Forgets all of them when there are too many."""
+    """Remembers segments: text to ids as bytes. Those not asked for while as many others were are forgotten."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
         self.whole, self.fine = (re.compile(x, re.S).findall for x in (vocabulary.segments, vocabulary.fine_segments))
         self.beside = re.compile(vocabulary.beside).search if vocabulary.beside else lambda _: False
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
-        ids = np.array(encode_segment(segment, self.vocabulary), self.kind).tobytes()
+        ids = self.older.get(segment)
+        if ids is None:
+            ids = np.array(encode_segment(segment, self.vocabulary), self.kind).tobytes()
         if len(segment) <= LONGEST_REMEMBERED:
-            if len(self) >= MOST_REMEMBERED:
+            if len(self) >= MOST_REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[segment] = ids
         return ids

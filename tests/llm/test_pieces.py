@@ -152,7 +152,8 @@ def test_memory_of_segments_is_bounded(bpe, monkeypatch):
     encoder = p.Encoder(bpe)
     for k in range(100):
         encoder.encode(f"word{k} other{k}")
-        assert len(encoder) <= 10
+        assert len(encoder) + len(encoder.older) <= 10
+        assert encoder.encode("word1") == p.Encoder(bpe).encode("word1")
 
 
 def test_awkward_rows(spark, bpe):
@@ -169,3 +170,13 @@ def test_awkward_rows(spark, bpe):
 def test_vocabularies_that_are_sent_are_bounded(spark, bpe):
     with pytest.raises(ValueError):
         p.share(spark, bpe, most=10)
+
+
+def test_panes_give_what_one_look_gives(bpe, monkeypatch):
+    v = small()
+    texts = ["".join(RANDOM.choice("abcx▁") for _ in range(RANDOM.randrange(1, 300))) for _ in range(100)] + ["ab" * 200, "x" * 200, "▁" * 200]
+    more = [p.MARK + "".join(RANDOM.choice(PARTS) for _ in range(80)).replace(" ", p.MARK) for _ in range(100)] + ["=" * 500, p.MARK * 500]
+    whole = [[list(p.commits(t, voc)) for t in some] for voc, some in ((v, texts), (bpe, more))]
+    for pane in (20, 33, 100):
+        monkeypatch.setattr(p, "_PANE", pane)
+        assert [[list(p.commits(t, voc)) for t in some] for voc, some in ((v, texts), (bpe, more))] == whole
