@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerglyph.llm import decontaminate, nearcopies, pieces, quality, simhash, substrings
+from peerglyph.llm import decontaminate, pieces, quality, simhash, substrings
 from peerglyph.llm.queries import PIECES
 from peerglyph.llm.storage import drop, materialise
 
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (5-word similarity of 0.8 or more), the document with the smallest id stays."""
-    return simhash.keep_leaders(docs, nearcopies.components)
+    return simhash.keep_similar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

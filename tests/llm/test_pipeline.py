@@ -8,15 +8,14 @@ import sentencepiece
 from oracle import assert_same, connect
 from peerglyph.llm import quality, queries
 from test_decontaminate import distance, words
-from test_simhash import plain as fingerprint
-from test_simhash import reachable
+from test_simhash import near_low
 from test_quality import base
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -38,8 +37,7 @@ def test_the_pipeline_against_a_plain_version(spark, sf_dir):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     assert all(not base(t)[5] for i, t in rows if i in kept)
     rows = [(i, t) for i, t in rows if i in kept]
-    low = reachable([(i, fingerprint(t)) for i, t in rows])
-    rows = [(i, t) for (i, t), first in zip(rows, low, strict=True) if i == first]
+    rows = [(i, t) for (i, t), first in zip(rows, near_low(rows), strict=True) if i == first]
     seen = Counter(tuple(w[k : k + 35]) for _, t in rows for w in [t.split()] for k in range(len(w) - 34))
     rows = [(i, cut(t, seen)) for i, t in rows]
     items = [words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
