@@ -17,8 +17,9 @@ grows on the driver and a lost executor costs one step at most.
 ``similar`` finds near copies by their texts: sets of 5-word shingles with a Jaccard similarity of 0.8 or more.
 Fingerprints of such texts over three-word shingles often differ in more than two bits, so there a fingerprint
 is that of the words (one counts eight times at most), and the join runs for several of them with hashes of
-their own; a pair that meets in any is compared by its shingles. In cells with many pairs, first those of
-neighbours are compared, then only pairs that these haven't linked.
+their own; a pair that meets in any is compared by its shingles. In cells with many pairs, those of neighbours are
+compared first, and then only pairs that these haven't linked; there a sketch of the shingles (a bit of the least
+of each of ``SKETCH`` hashes) leaves out pairs that are far from similar.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal rows stay
 equal rows; a null doc_id is never a component's name unless all its members' ids are null; an empty
@@ -47,6 +48,10 @@ CROWD, HELD = 2048, 200_000
 #: Of ``similar``: words in a shingle; fingerprints of a text; what a word counts at most; bits of a half of the
 #: next fingerprint in which texts that meet may differ (unrelated ones mostly differ in twice as many).
 SHINGLE, TABLES, MOST_WEIGHT, OTHER_BITS = 5, 3, 8, 6
+#: Bits of a sketch, and in how many two may differ: at a similarity of 0.8 they differ in 102, give or take 10, so
+#: that one such pair in 3,000 is left out (one that is less near than its neighbours, or it would be linked by then).
+SKETCH, SKETCH_BITS = 1024, 135
+_FACTORS = np.random.default_rng(20240602).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -128,7 +133,7 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool
     held: list[np.ndarray] | None = None
     large = None  # the key of a large group that may go on
     for batch in batches:
-        columns = [np.asarray(c) for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if large is not None and batch.num_rows:
             go = int(np.searchsorted(columns[0], large, "right"))
             if go:
@@ -364,6 +369,17 @@ class Words:
         cuts = self.first.tolist()
         return [np.unique(windows[a : b - SHINGLE + 1]) if b - a >= SHINGLE else np.array([xxhash.xxh64_intdigest(self.joined(row), SEED)], np.uint64) for row, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
+    def sketches(self) -> list[bytes]:
+        """``SKETCH`` bits for each text, from the least of its shingles under that many hashes."""
+        out = []
+        for found in self.sets():
+            least = np.full(SKETCH, 2**64 - 1, np.uint64)
+            for low in range(0, SKETCH, 64):
+                for at in range(0, len(found), 1 << 14):
+                    least[low : low + 64] = np.minimum(least[low : low + 64], (found[None, at : at + (1 << 14)] * _FACTORS[low : low + 64, None]).min(axis=1))
+            out.append(np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).tobytes())
+        return out
+
     def fingerprints(self) -> list[np.ndarray]:
         """``TABLES`` fingerprints of each text: bit b is set if it is in over half of the words' hashes, by weight."""
         row = row_of(self.first)
@@ -468,17 +484,34 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(key), batch.column("home"), batch.column("fp"), batch.column("other"), batch.column("a"), _signed(now)], schema=_PLACED)
 
 
+def _sketched(columns: list) -> tuple[np.ndarray, ...]:
+    """cell, fp, other, sid, root, and the sketches as rows of numbers."""
+    *numbers, sketch = columns
+    return *numbers, np.frombuffer(b"".join(sketch.tolist()), np.uint64).reshape(len(sketch), -1)
+
+
+def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= SKETCH_BITS
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by cell and fingerprint, pairs of near rows that aren't linked."""
-    for large, (cell, fp, other, sid, root) in _groups(batches, 1 << 16):  # a part of a large group is a group here
-        found = [(at[ok], at[ok] + step) for at, step in _offsets(cell, steps) if (ok := (root[at] != root[at + step]) & _may(fp, other, at, at + step)).any()]
+    for _, columns in _groups(batches, 1 << 16):  # a part of a large group is a group here
+        cell, fp, other, sid, root, sketch = _sketched(columns)
+        found = []
+        for at, step in _offsets(cell, steps):
+            at = at[(root[at] != root[at + step]) & _may(fp, other, at, at + step)]
+            at = at[_alike(sketch, at, at + step)]
+            if len(at):
+                found.append((at, at + step))
         if found:
             yield _pairs_of(sid, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs in a cell that may be near and aren't linked: rows outside its largest component against all."""
-    for _, (cell, fp, other, sid, root) in _groups(batches, 1 << 62):
+    for _, columns in _groups(batches, 1 << 62):
+        cell, fp, other, sid, root, sketch = _sketched(columns)
         bounds = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             here, first = np.unique(root[low:high], return_inverse=True)
@@ -490,16 +523,23 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 to = np.arange(low, high)
                 to = to[(root[low:high] != root[k]) & ((to > k) | (first == main))]
                 to = to[_may(fp, other, np.full(len(to), k), to)]
+                to = to[_alike(sketch, np.full(len(to), k), to)]
                 if len(to):
                     found.append((np.full(len(to), k), to))
                     total += len(to)
-                if total > 1 << 20:
+                if total > 1 << 17:
                     yield _pairs_of(sid, *(np.concatenate(x) for x in zip(*found, strict=True)))
                     found, total = [], 0
             if found:
                 yield _pairs_of(sid, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
+def _texts(wanted: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """A text for each of the wanted sids, or several of the same words."""
+    lows = classes.join(wanted, "sid", "left_semi").select(F.col("low.doc_id").alias("l_id"), F.col("low.tid").alias("l_tid"))
+    return rows.join(lows, (rows.doc_id == lows.l_id) & (rows.tid == lows.l_tid), "left_semi").select("text")
+
+
 def _compared(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Of pairs (a, b) of texts, those whose shingles are similar enough, as edges (u, v)."""
 
@@ -513,9 +553,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    lows = classes.join(wanted, "sid", "left_semi").select(F.col("low.doc_id").alias("l_id"), F.col("low.tid").alias("l_tid"))
-    texts = rows.join(lows, (rows.doc_id == lows.l_id) & (rows.tid == lows.l_tid), "left_semi").select("text")
-    sets, _ = materialise(map_text(texts, "text", make, "sid long, held binary").groupBy("sid").agg(F.min("held").alias("held")), "sets")
+    sets, _ = materialise(map_text(_texts(wanted, classes, rows), "text", make, "sid long, held binary").groupBy("sid").agg(F.min("held").alias("held")), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("held").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
 
@@ -549,6 +587,13 @@ def _near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
         return found
     # cells with many pairs: neighbours in their own cells, twice, and then all that is left
     crowds = crowds.select("cell", "home", "fp", "other", F.col("a").alias("sid"))
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(batch.column("text"))
+        return pa.RecordBatch.from_arrays([_signed(words.names()), pa.array(words.sketches(), pa.binary())], ["s_sid", "sketch"])
+
+    sketches, _ = materialise(map_text(_texts(crowds.select("sid").distinct(), classes, rows), "text", sketch, "s_sid long, sketch binary").groupBy("s_sid").agg(F.min("sketch").alias("sketch")), "sketches")
+    crowds = crowds.join(sketches, crowds.sid == sketches.s_sid).drop("s_sid")
     for step, work in enumerate((lambda it: _neighbours(it, 2), lambda it: _neighbours(it, 8), _rest)):
         some = crowds if step == 2 else crowds.where("home")
         if found.isEmpty():
@@ -556,7 +601,7 @@ def _near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
         else:
             roots = connect(found)
             rooted = some.join(roots, some.sid == roots.node, "left").withColumn("root", F.coalesce("root", "sid"))
-        met = rooted.select("cell", "fp", "other", "sid", "root").repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(work, MET)
+        met = rooted.select("cell", "fp", "other", "sid", "root", "sketch").repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(work, MET)
         now, _ = materialise(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if now.isEmpty():
             continue
