@@ -1,7 +1,7 @@
 """Pixel kernels on grey renders, in numpy, and the table functions that run them in Arrow batches.
 
-A render is rows of bytes, 0 black to 255 white. Kernels take stacks of renders where they can; the pair
-normalisation works render by render, as sizes differ, with weight matrices that are built once.
+A render is rows of bytes, 0 black to 255 white. Kernels take stacks of renders; where sizes differ, as in the
+normalisation, those of the same sizes make a stack, and equal work in a batch is done once.
 """
 
 from __future__ import annotations
@@ -172,24 +172,87 @@ def normalise(pixels: np.ndarray, side: int = SIDE) -> np.ndarray:
     return _fit(crop(pixels, top, left, h, w), min(side / w, side / h), side)
 
 
-def normalise_pair(a: np.ndarray, b: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
-    """P11 (P10): two renders on one scale, with their places about the canvas middle kept.
+def _boxes(images: list[np.ndarray]) -> np.ndarray:
+    """``ink_bounds`` of renders of any size; those of one size are worked on as a stack."""
+    out = np.full((len(images), 4), -1)
+    by_size: dict[tuple[int, int], list[int]] = {}
+    for k, x in enumerate(images):
+        by_size.setdefault(x.shape, []).append(k)
+    for at in by_size.values():
+        out[at] = ink_bounds(np.stack([images[k] for k in at]))
+    return out
+
+
+def _fitted(images: list[np.ndarray], jobs: np.ndarray, side: int) -> np.ndarray:
+    """Squares with cut-outs of renders, resized and centred on white.
+
+    A job is (render, top, left, height, width, new height, new width); rows below a canvas are white. Equal jobs are
+    done once, and jobs of the same sizes as a stack.
+    """
+    jobs, which = np.unique(jobs, axis=0, return_inverse=True)
+    out = np.full((len(jobs), side, side), WHITE, np.uint8)
+    sizes, group = np.unique(jobs[:, 3:], axis=0, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    for (h, w, new_h, new_w), at in zip(sizes.tolist(), np.split(order, np.cumsum(np.bincount(group, minlength=len(sizes)))[:-1]), strict=True):
+        stack = np.stack([crop(images[k], top, left, h, w) for k, top, left in jobs[at, :3].tolist()]).astype(float)
+        across = np.clip(round_half_up(stack @ resize_weights(w, new_w).T), 0, 255)
+        down = np.clip(round_half_up(resize_weights(h, new_h) @ across), 0, 255).astype(np.uint8)
+        y, x = (side - new_h) // 2, (side - new_w) // 2
+        out[at, y : y + new_h, x : x + new_w] = down
+    return out[which]
+
+
+def _new_sizes(sizes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.maximum(1, round_half_up(sizes * scale)).astype(np.int64)
+
+
+def normalise_all(images: list[np.ndarray], side: int = SIDE) -> np.ndarray:
+    """P09, P15 for a list of renders: squares with each render's ink alone; white if there is none."""
+    out = np.full((len(images), side, side), WHITE, np.uint8)
+    box = _boxes(images)
+    have = np.flatnonzero(box[:, 0] >= 0)
+    if len(have):
+        top, bottom, left, right = box[have].T
+        h, w = bottom - top + 1, right - left + 1
+        scale = np.minimum(side / w, side / h)
+        out[have] = _fitted(images, np.stack([have, top, left, h, w, _new_sizes(h, scale), _new_sizes(w, scale)], axis=1), side)
+    return out
+
+
+def normalise_pairs(images: list[np.ndarray], a: np.ndarray, b: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """P11 (P10): pairs of renders, given by their places in a list, each on one scale, with their places about the
+    canvas middle kept.
 
     Both are cut to the union of their vertical extents, each to its own horizontal one; the larger of
     all sizes fills the square. A blank render stays white and the other is fitted alone.
     """
-    bounds = [ink_bounds(x[None])[0].tolist() for x in (a, b)]
-    if min(bounds[0][0], bounds[1][0]) < 0:
-        return normalise(a, side), normalise(b, side)
-    middles = [x.shape[0] / 2 for x in (a, b)]
-    high = min(box[0] - m for box, m in zip(bounds, middles, strict=True))
-    low = max(box[1] - m for box, m in zip(bounds, middles, strict=True))
-    tops = [max(0, int(np.floor(m + high))) for m in middles]
-    bottoms = [min(x.shape[0] - 1, int(np.ceil(m + low))) for x, m in zip((a, b), middles, strict=True)]
-    height = max(bottom - top + 1 for top, bottom in zip(tops, bottoms, strict=True))
-    widths = [box[3] - box[2] + 1 for box in bounds]
-    scale = min(side / max(widths), side / height)
-    return tuple(_fit(crop(x, top, box[2], height, w), scale, side) for x, top, box, w in zip((a, b), tops, bounds, widths, strict=True))
+    box = _boxes(images)
+    sides = np.stack([a, b], axis=1)
+    out = np.empty((*sides.shape, side, side), np.uint8)
+    both = (box[sides, 0] >= 0).all(axis=1)
+    if not both.all():
+        alone = normalise_all(images, side)
+        out[~both] = alone[sides[~both]]
+    pair = sides[both]
+    if len(pair):
+        heights = np.array([x.shape[0] for x in images])[pair]
+        top, bottom, left, right = np.moveaxis(box[pair], 2, 0)
+        middle = heights / 2
+        high, low = (top - middle).min(axis=1), (bottom - middle).max(axis=1)
+        tops = np.maximum(0, np.floor(middle + high[:, None])).astype(np.int64)
+        bottoms = np.minimum(heights - 1, np.ceil(middle + low[:, None])).astype(np.int64)
+        h = np.repeat((bottoms - tops + 1).max(axis=1)[:, None], 2, axis=1)
+        w = right - left + 1
+        scale = np.minimum(side / w.max(axis=1), side / h[:, 0])[:, None]
+        jobs = np.stack([pair, tops, left, h, w, _new_sizes(h, scale), _new_sizes(w, scale)], axis=2)
+        out[both] = _fitted(images, jobs.reshape(-1, 7), side).reshape(len(pair), 2, side, side)
+    return out[:, 0], out[:, 1]
+
+
+def normalise_pair(a: np.ndarray, b: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """``normalise_pairs`` of one pair."""
+    left, right = normalise_pairs([a, b], np.array([0]), np.array([1]), side)
+    return left[0], right[0]
 
 
 # Hashes and similarity
@@ -230,22 +293,33 @@ def _image(pixels: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(pixels, np.uint8).reshape(height, width)
 
 
+def _images(batch: pd.DataFrame, name: str = "") -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows of a batch that have a render, and the renders."""
+    have = np.flatnonzero(batch[f"{name}pixels"].notna().to_numpy())
+    columns = (batch[f"{name}{c}"].to_numpy()[have] for c in ("pixels", "width", "height"))
+    return have, [_image(p, int(w), int(h)) for p, w, h in zip(*columns, strict=True)]
+
+
 def measure(renders: DataFrame) -> DataFrame:
     """Renders (with pixels, width, height) with their hash, ink size, coverage and placeholder flag."""
     columns = renders.columns
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for p, w, h in zip(batch.pixels, batch.width, batch.height, strict=True):
-                if p is None:
-                    rows.append((None, None, None, None, None))
-                    continue
-                image = _image(p, int(w), int(h))
-                top, bottom, left, right = ink_bounds(image[None])[0].tolist()
-                rows.append((int(average_hash(image[None])[0]), right - left + 1 if top >= 0 else None, bottom - top + 1 if top >= 0 else None, float(ink_coverage(image[None])[0]), is_placeholder_box(image)))
-            extra = pd.DataFrame(rows, columns=["phash", "ink_w", "ink_h", "coverage", "placeholder"], dtype=object)
-            yield pd.concat([batch[columns].reset_index(drop=True), extra], axis=1)
+            batch = batch[columns].reset_index(drop=True)
+            have, images = _images(batch)
+            rows = np.full((len(batch), 5), None, object)
+            by_size: dict[tuple[int, int], list[int]] = {}
+            for k, x in enumerate(images):
+                by_size.setdefault(x.shape, []).append(k)
+            for at in by_size.values():
+                stack = np.stack([images[k] for k in at])
+                box = ink_bounds(stack)
+                size = lambda low, high: [high - low + 1 if low >= 0 else None for low, high in zip(low.tolist(), high.tolist(), strict=True)]
+                found = (average_hash(stack).tolist(), size(box[:, 2], box[:, 3]), size(box[:, 0], box[:, 1]), ink_coverage(stack).tolist(), [is_placeholder_box(x) for x in stack])
+                for column, values in enumerate(found):
+                    rows[have[at], column] = values
+            yield pd.concat([batch, pd.DataFrame(rows, columns=["phash", "ink_w", "ink_h", "coverage", "placeholder"], dtype=object)], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renders.schema)
     return renders.mapInPandas(work, f"{fields}, phash long, ink_w int, ink_h int, coverage double, placeholder boolean")
@@ -258,7 +332,11 @@ def normalise_renders(renders: DataFrame, side: int = SIDE) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[columns].copy()
-            batch["pixels"] = [None if p is None else normalise(_image(p, int(w), int(h)), side).tobytes() for p, w, h in zip(batch.pixels, batch.width, batch.height, strict=True)]
+            have, images = _images(batch)
+            pixels = np.full(len(batch), None, object)
+            for k, x in zip(have.tolist(), normalise_all(images, side) if images else (), strict=True):
+                pixels[k] = x.tobytes()
+            batch["pixels"] = pixels
             batch["width"] = batch["height"] = side
             yield batch.astype({"width": "int32", "height": "int32"})
 
@@ -279,24 +357,26 @@ def score_pairs(pairs: DataFrame, paired: bool = True, least_ink: float = 0.0, w
         for batch in batches:
             for at in range(0, len(batch), 1024):  # bounds the stacks that are scored at once
                 part = batch.iloc[at : at + 1024]
-                have, left, right = [], [], []
-                for k, row in enumerate(zip(part.a_pixels, part.a_width, part.a_height, part.b_pixels, part.b_width, part.b_height, strict=True)):
-                    if row[0] is None or row[3] is None:
-                        continue
-                    a, b = _image(row[0], int(row[1]), int(row[2])), _image(row[3], int(row[4]), int(row[5]))
-                    a, b = normalise_pair(a, b, side) if paired else (a, b)
-                    have.append(k)
-                    left.append(a)
-                    right.append(b)
+                have = np.flatnonzero((part.a_pixels.notna() & part.b_pixels.notna()).to_numpy())
                 value, skipped = np.full(len(part), np.nan), np.zeros(len(part), bool)
-                if have:
-                    a, b = np.stack(left), np.stack(right)
+                if len(have):
+                    a, b = _stacks(part.iloc[have])
                     thin = (ink_coverage(a) < least_ink) | (ink_coverage(b) < least_ink)
-                    value[have], skipped[have] = np.where(thin, np.nan, ssim(a, b, min(window, *a.shape[1:]))), thin
+                    value[have] = np.where(thin, np.nan, ssim(a, b, min(window, *a.shape[1:])))
+                    skipped[have] = thin
                 out = part[keep].copy()
                 out["ssim"] = pd.Series(value, index=out.index).astype(object).where(~np.isnan(value), None)
                 out["ink_skipped"] = skipped
                 yield out
 
+    def _stacks(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The renders of either side; one that many rows have is worked on once."""
+        known: dict[tuple[bytes, int, int], int] = {}
+        places = [np.array([known.setdefault((bytes(p), int(w), int(h)), len(known)) for p, w, h in zip(part[f"{s}_pixels"], part[f"{s}_width"], part[f"{s}_height"], strict=True)]) for s in "ab"]
+        images = [_image(*x) for x in known]
+        if paired:
+            return normalise_pairs(images, *places, side)
+        return np.stack([images[k] for k in places[0]]), np.stack([images[k] for k in places[1]])
+
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pairs.schema if f.name not in pixel)
     return pairs.mapInPandas(work, f"{fields}ssim double, ink_skipped boolean")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranges
 from ..functions.codepoints import is_basic_latin, to_u_plus
+from .similarity import product
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
@@ -59,8 +60,8 @@ def sequences(spark) -> DataFrame:
 
 
 def source_targets(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every source with every target; the targets are the fixed alphabet."""
-    return sources.crossJoin(targets)
+    """Every source with every target; the targets, mostly the fixed alphabet, are counted first."""
+    return product(sources, targets)
 
 
 def render_jobs(chars: DataFrame, coverage: DataFrame, fonts: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ def render_jobs(chars: DataFrame, coverage: DataFrame, fonts: DataFrame, fallbac
     """
     covering = coverage.join(fonts.select("family"), "family").select("cp", "family").distinct()
     direct = chars.select("cp").join(covering, "cp").withColumn("fallback", F.lit(False))
-    rest = chars.select("cp").join(covering.select("cp").distinct(), "cp", "left_anti").crossJoin(fallback.select("family")).withColumn("fallback", F.lit(True))
+    rest = chars.select("cp").join(covering.select("cp").distinct(), "cp", "left_anti")
+    rest = product(rest, fallback.select("family")).withColumn("fallback", F.lit(True))
     return direct.unionByName(rest)
 
 

@@ -27,20 +27,24 @@ def hash_similarity() -> Column:
     return hashes.similarity(F.col("s_phash"), F.col("t_phash"))
 
 
-def all_pairs(sources: DataFrame, targets: DataFrame, most: int = 200_000) -> DataFrame:
-    """Every source (columns s_...) with every target (t_...), the targets being the set that is asked about.
+def product(rows: DataFrame, asked: DataFrame, most: int = 200_000) -> DataFrame:
+    """Every row with every row of the set that is asked about, which is counted first.
 
-    Targets are counted first. Up to ``most`` of them (rows of a few numbers) are sent to all tasks. More are
-    dealt to blocks of that size, sources are repeated for each block, and the two are joined by block, so
-    that no task ever holds more targets than ``most`` and no nested loop over whole tables is planned.
+    Up to ``most`` of them (rows of a few numbers or names) are sent to all tasks. More are dealt to blocks of
+    that size, ``rows`` are repeated for each block, and the two are joined by block, so that no task ever
+    holds more than ``most`` and no nested loop over whole tables is planned.
     """
-    blocks = max(1, -(-targets.count() // most))
-    s, t = side(sources, "s"), side(targets, "t")
+    blocks = max(1, -(-asked.count() // most))
     if blocks == 1:
-        return s.crossJoin(F.broadcast(t))
-    block = F.pmod(F.xxhash64(*t.columns), F.lit(blocks)).cast("int")
-    repeated = s.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return repeated.join(t.withColumn("_block", block), "_block").drop("_block")
+        return rows.crossJoin(F.broadcast(asked))
+    block = F.pmod(F.xxhash64(*asked.columns), F.lit(blocks)).cast("int")
+    repeated = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return repeated.join(asked.withColumn("_block", block), "_block").drop("_block")
+
+
+def all_pairs(sources: DataFrame, targets: DataFrame, most: int = 200_000) -> DataFrame:
+    """Every source (columns s_...) with every target (t_...), the targets being the set that is asked about."""
+    return product(side(sources, "s"), side(targets, "t"), most)
 
 
 def same_font(sources: DataFrame, targets: DataFrame) -> DataFrame:

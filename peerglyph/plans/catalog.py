@@ -34,6 +34,6 @@ def lines(spark: SparkSession, text: str) -> DataFrame:
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import fontjobs, scorejobs, textjobs  # noqa: F401  they register their queries
+    from . import filejobs, fontjobs, scorejobs, textjobs  # noqa: F401  they register their queries
 
     return QUERIES, ORACLE_SQL

@@ -16,8 +16,13 @@ from ..functions.numbers import band, round_half_up
 from ..operators import similarity as sim
 from ..operators import summaries as summ
 from ..operators import weights as wt
-from ..sources.renders import bitmap, from_vectors
+from ..sources import scratch
+from ..sources.fonts import coverage, glyph_table, installed
+from ..sources.outlines import ship
+from ..sources.renders import Draw, bitmap, from_vectors
 from .catalog import query, table
+from .jobs import build_index, extract_scripts
+from .jobs import score_scripts as score_script_pair
 
 HASH, HIGH, MEDIUM = 0.5, 0.05, 0.0
 
@@ -58,10 +63,12 @@ def score_scripts(r: DataFrame, least: float, size: int = 10) -> DataFrame:
     """All pairs of scripts (tens of characters): same-font comparisons and, of each side A render, the best
     side B render in another font; hash and width gates."""
     light = r.drop("px", "bits").withColumn("script", F.floor(F.col("ch") / size).cast("int"))
-    a, b = sim.side(light, "s"), sim.side(light, "t")
-    apart = F.col("s_script") < F.col("t_script")
-    same = a.join(b, (F.col("s_font") == F.col("t_font")) & apart).withColumn("phash", sim.hash_similarity())
-    other = sim.all_pairs(light, light).where((F.col("s_font") != F.col("t_font")) & apart).withColumn("phash", sim.hash_similarity())
+    scripts = light.select("script").distinct()  # some tens of rows
+    pairs = sim.side(scripts, "s").join(sim.side(scripts, "t"), F.col("s_script") < F.col("t_script"))
+    # side A repeated for each script that it is compared with, and joined with that script alone
+    a, b = sim.side(light, "s").join(F.broadcast(pairs), "s_script"), sim.side(light, "t")
+    same = a.join(b, (a.t_script == b.t_script) & (a.s_font == b.t_font)).drop(a.t_script).withColumn("phash", sim.hash_similarity())
+    other = a.join(b, (a.t_script == b.t_script) & (a.s_font != b.t_font)).drop(a.t_script).withColumn("phash", sim.hash_similarity())
     columns = ["s_ch", "s_font", "s_ord", "s_script", "s_ink_w", "t_ch", "t_font", "t_ord", "t_script", "t_ink_w"]
     rest = [c for c in columns if c not in ("s_ord", "t_script")]
     winner = F.max_by(F.struct(*rest), F.struct(F.col("phash"), (-F.col("t_ord")).alias("o")))
@@ -147,10 +154,10 @@ def P20_global_ssim(spark, sf_dir):
     return met.select(F.col("s_ch").alias("source"), F.col("t_ch").alias("target"), F.col("s_font").alias("font"), F.round("ssim", 6).alias("ssim"))
 
 
-@query(BASE + "select source, target, source_font, target_font, phash from allp where not s_is_target and not s_standard and t_is_target and t_standard and source % 5 = target % 5")
+@query(BASE + "select source, target, source_font, target_font, phash from allp where not s_is_target and not s_standard and t_is_target and t_standard")
 def J03_cross_font(spark, sf_dir):
     _, others, targets = sides(renders(spark, sf_dir))
-    pairs = others.select(F.col("ch").alias("source")).distinct().join(targets.select(F.col("ch").alias("target")).distinct(), F.col("source") % 5 == F.col("target") % 5)
+    pairs = sim.product(others.select(F.col("ch").alias("source")).distinct(), targets.select(F.col("ch").alias("target")).distinct())
     return sim.pair_cross_font(pairs, others, targets).select("source", "target", F.col("s_font").alias("source_font"), F.col("t_font").alias("target_font"), "phash")
 
 
@@ -443,23 +450,58 @@ def A16_glyph_reuse(spark, sf_dir):
 # Rows only: windowed similarity of pair-normalised bitmaps
 
 
+def _draw(spark: SparkSession, most: int) -> tuple[DataFrame, Draw]:
+    """Fonts (font, family, category, path) of this machine, the first by name, and how they draw; without any, stand-ins."""
+    rows = installed(spark).where("category = 'standard'").orderBy("family").limit(most).collect()
+    if not rows:
+        fonts = spark.range(most).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("family"))
+        return fonts.select(F.col("family").alias("font"), "family", F.lit("standard").alias("category"), F.lit("").alias("path")), bitmap
+    fonts = spark.createDataFrame([(r.family, r.family, r.category, r.path) for r in rows], "font string, family string, category string, path string")
+    return fonts, ship(spark, fonts)
+
+
+@query()
+def C07_render_index(spark, sf_dir):
+    """The render index of Latin, Greek and Cyrillic letters in the fonts of this machine that cover them."""
+    fonts, draw = _draw(spark, 4)
+    points = spark.range(0x61, 0x7B).unionByName(spark.range(0x3B1, 0x3CA)).unionByName(spark.range(0x430, 0x450)).select(F.col("id").cast("int").alias("cp"))
+    covered = coverage(glyph_table(spark, fonts)) if draw is not bitmap else points.crossJoin(fonts.select("family"))
+    none = fonts.select("family", "category").limit(0)
+    return build_index(points, covered, fonts, none, draw).drop("pixels")
+
+
+@query()
+def C12_font_scripts(spark, sf_dir):
+    """Cyrillic letters that look like Latin ones in the fonts of this machine, with their best comparison."""
+    fonts, draw = _draw(spark, 4)
+    points = spark.range(0x61, 0x7B).unionByName(spark.range(0x430, 0x450)).select(F.col("id").cast("int").alias("cp"))
+    covered = coverage(glyph_table(spark, fonts)) if draw is not bitmap else points.crossJoin(fonts.select("family"))
+    index, _ = scratch.keep(build_index(points, covered, fonts, fonts.select("family", "category").limit(0), draw), "index")
+    latin = F.col("ch").between("a", "z")
+    cross = score_script_pair(index.where(~latin), index.where(latin)).withColumns({"script_a": F.lit("Cyrillic"), "script_b": F.lit("Latin")})
+    return extract_scripts(cross).select("source", "target", F.round("mean_ssim", 6).alias("mean_ssim"), "identical", "valid_fonts")
+
+
 @query()
 def C11_score_sequences(spark, sf_dir):
-    """M4 on generated bitmaps: all sequences with all characters of the same font, gates, windowed SSIM, summary."""
+    """M4: all sequences with all characters of the same font, gates, windowed SSIM, summary, in fonts of this machine."""
     from ..functions.pixels import measure, score_pairs
     from ..operators.candidates import ALPHABET, sequences
     from ..sources.renders import SEQUENCE_CANVAS, render
 
     letters = spark.range(len(ALPHABET)).select(F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1)).alias("ch"))
-    fonts = spark.range(3).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("font"))
+    fonts, draw = _draw(spark, 3)
     wanted = sequences(spark).select(F.col("sequence").alias("ch"))
-    s = sim.side(measure(render(wanted.crossJoin(fonts), bitmap, *SEQUENCE_CANVAS)).where("status = 'native'"), "s")
-    t = sim.side(measure(render(letters.crossJoin(fonts), bitmap)).where("status = 'native'"), "t")
-    met = sim.gate_width(sim.gate_hash(s.join(t, F.col("s_font") == F.col("t_font")).withColumn("phash", sim.hash_similarity()), sim.SEQUENCE_HASH))
-    pairs = met.select("s_ch", "t_ch", "s_font", "t_font", "phash", *(F.col(f"{x}_{c}").alias(f"{y}_{c}") for x, y in (("s", "a"), ("t", "b")) for c in ("pixels", "width", "height")))
-    # spread by pair: there are few fonts, and the kernel is what takes time
-    pairs = pairs.repartition(spark.sparkContext.defaultParallelism, "s_ch", "t_ch")
-    scored = score_pairs(pairs, least_ink=sim.INK_SHARE).where("not ink_skipped")
+    jobs = lambda texts: texts.crossJoin(F.broadcast(fonts.select("font"))).repartition(spark.sparkContext.defaultParallelism, "ch")  # noqa: E731  the alphabet in some fonts
+    # drawn and measured once; comparisons are spread by pair, as there are few fonts and the kernel is what takes time
+    s, _ = scratch.keep(measure(render(jobs(wanted), draw, *SEQUENCE_CANVAS)).where("status = 'native'"), "sequences")
+    t, _ = scratch.keep(measure(render(jobs(letters), draw)).where("status = 'native'"), "letters")
+    light = lambda r, p: sim.side(r.select("ch", "font", "phash", "ink_w"), p)
+    met = sim.gate_width(sim.gate_hash(light(s, "s").join(light(t, "t"), F.col("s_font") == F.col("t_font")).withColumn("phash", sim.hash_similarity()), sim.SEQUENCE_HASH))
+    pixels = lambda r, p, name: r.select(F.col("ch").alias(f"{p}_ch"), F.col("font").alias(f"{p}_font"), *(F.col(c).alias(f"{name}_{c}") for c in ("pixels", "width", "height")))
+    pairs = met.select("s_ch", "t_ch", "s_font", "t_font", "phash").repartition(4 * spark.sparkContext.defaultParallelism, "s_ch")
+    joined = pairs.join(pixels(s, "s", "a"), ["s_ch", "s_font"]).join(F.broadcast(pixels(t, "t", "b")), ["t_ch", "t_font"])  # an alphabet in some fonts
+    scored = score_pairs(joined, least_ink=sim.INK_SHARE).where("not ink_skipped")
     return summ.pair_summary(sim.comparisons(scored))
 
 

@@ -134,15 +134,6 @@ def C02_confusable_counts(spark, sf_dir):
     return cand.count_by(ucd.parse_confusables(lines(spark, CONFUSABLES)), "reason")
 
 
-@query("select * from (values ('a', 'x2', 3), ('b', 'y1', 2)) t(key, value, n)")
-def S06_progress_last_wins(spark, sf_dir):
-    from ..sources.json_files import last_wins
-
-    log = lines(spark, '{"key": "a", "value": "x1", "n": 1}\n{"key": "b", "value": "y1", "n": 2}\n{"key": "a", "value": "x2", "n": 3}\n{"key": "c", "val')
-    rows = log.select(F.from_json("value", "key string, value string, n int").alias("r")).where("r.key is not null").select("r.*")
-    return last_wins(rows, ["key"], "n")
-
-
 # Functions
 
 
@@ -162,25 +153,36 @@ def F06_block_script(spark, sf_dir):
     return unicode_points(spark).select("cp", ranges.block_script(F.col("cp"), F.col("name")).alias("script"))
 
 
-@query("select cp, " + case(ranges.SUMMARY_SCRIPTS, "'Other'") + " as script from (select (range * 37)::int as cp from range(3600)) t")
+# All 1,114,112 code points; a label's count, least, greatest and sum tell its ranges from any others.
+EVERY = "select {0}, count(*) as n, min(cp) as least, max(cp) as greatest, sum(cp)::bigint as total from ({1}) group by {0}"
+
+
+def _every(spark: SparkSession) -> DataFrame:
+    return spark.range(0x110000).select(F.col("id").cast("int").alias("cp"))
+
+
+def _summed(rows: DataFrame, label: str) -> DataFrame:
+    return rows.groupBy(label).agg(F.count("*").alias("n"), F.min("cp").alias("least"), F.max("cp").alias("greatest"), F.sum("cp").alias("total"))
+
+
+@query(EVERY.format("script", "select cp, " + case(ranges.SUMMARY_SCRIPTS, "'Other'") + " as script from (select range::int as cp from range(1114112)) t"))
 def F07_summary_script(spark, sf_dir):
-    return spark.range(3600).select((F.col("id") * 37).cast("int").alias("cp")).select("cp", ranges.summary_script(F.col("cp")).alias("script"))
+    return _summed(_every(spark).withColumn("script", ranges.summary_script(F.col("cp"))), "script")
 
 
-@query("select cp, " + case(ranges.REPORT_GROUPS, "case when cp > 65535 then 'Other SMP' else 'Other BMP' end") + " as script from (select (range * 37)::int as cp from range(3600)) t")
+@query(EVERY.format("script", "select cp, " + case(ranges.REPORT_GROUPS, "case when cp > 65535 then 'Other SMP' else 'Other BMP' end") + " as script from (select range::int as cp from range(1114112)) t"))
 def F08_report_group(spark, sf_dir):
-    return spark.range(3600).select((F.col("id") * 37).cast("int").alias("cp")).select("cp", ranges.report_group(F.col("cp")).alias("script"))
+    return _summed(_every(spark).withColumn("script", ranges.report_group(F.col("cp"))), "script")
 
 
-@query("with p as (select (range * 37)::int as cp from range(3600)), t(ord, lo, hi, label) as (values " + ", ".join(f"({k}, {a}, {b}, '{x}')" for k, (a, b, x) in enumerate(ranges.SUMMARY_SCRIPTS)) + ") select p.cp, arg_min(label, ord) as label from p left join t on p.cp between lo and hi group by p.cp")
+@query("with p as (select range::int as cp from range(1114112)), t(ord, lo, hi, label) as (values " + ", ".join(f"({k}, {a}, {b}, '{x}')" for k, (a, b, x) in enumerate(ranges.SUMMARY_SCRIPTS)) + ") " + EVERY.format("label", "select p.cp, arg_min(label, ord) as label from p left join t on p.cp between lo and hi group by p.cp"))
 def J13_first_range(spark, sf_dir):
-    points = spark.range(3600).select((F.col("id") * 37).cast("int").alias("cp"))
-    return ranges.first_range(points, ranges.range_table(spark, ranges.SUMMARY_SCRIPTS))
+    return _summed(ranges.first_range(_every(spark), ranges.range_table(spark, ranges.SUMMARY_SCRIPTS)), "label")
 
 
-@query("select conv_id, turn, string_agg(hex(unicode(c)), '_' order by i) as hex_name from (select conv_id, turn, unnest(string_split(substr(text, 1, 12), '')) as c, generate_subscripts(string_split(substr(text, 1, 12), ''), 1) as i from conversations) where c <> '' group by all")
+@query("select conv_id, turn, string_agg(hex(unicode(c)), '_' order by i) as hex_name from (select conv_id, turn, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from conversations) where c <> '' group by all")
 def F14_hex_name(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id", "turn", cps.hex_name(F.substring("text", 1, 12)).alias("hex_name"))
+    return table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id", "turn", cps.hex_name(F.col("text")).alias("hex_name"))
 
 
 @query("select l_orderkey, l_linenumber, floor((l_discount - 0.05) * l_extendedprice / 1000 * 10000 + 0.5) / 10000 as rounded, greatest(0, least(1, l_discount * 12 - 0.1)) as clamped, case when l_quantity > 0 and l_tax > 0 then greatest(l_quantity, l_tax) / least(l_quantity, l_tax) end as ratio from lineitem")

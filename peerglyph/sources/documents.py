@@ -15,9 +15,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded runs of a result tree; malformed files and failed runs are passed over."""
-    rows = spark.read.schema(schemas.ATTACK_RUN + ", _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+def read_runs(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """Recorded runs of a result tree, a file each; malformed files and failed runs are passed over."""
+    rows = spark.read.schema(schemas.ATTACK_RUN + ", _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).json(path)
     return rows.where("_corrupt_record is null and content is not null and error is null and model is not null").drop("_corrupt_record")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import subprocess
+import warnings
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -18,10 +19,11 @@ SYSTEM_FOLDERS = ("/System/Library/Fonts/", "/Library/Fonts/")
 
 
 def list_fonts(spark: SparkSession, pattern: str = ":charset=61-7A") -> DataFrame:
-    """Family and path of fonts that fontconfig finds; empty where there is no fontconfig."""
+    """Family and path of fonts that fontconfig finds; empty, with a warning, where there is no fontconfig."""
     try:
         said = subprocess.run(["fc-list", pattern, "family", "file"], capture_output=True, text=True, timeout=60, check=True).stdout
-    except (OSError, subprocess.SubprocessError):
+    except FileNotFoundError:
+        warnings.warn("no fontconfig here: the inventory of fonts is empty", stacklevel=2)
         said = ""
     rows = [(family.split(",")[0].strip(), path.strip()) for path, colon, family in (line.partition(":") for line in said.splitlines()) if colon]
     return spark.createDataFrame(rows, "family string, path string")
@@ -29,6 +31,9 @@ def list_fonts(spark: SparkSession, pattern: str = ":charset=61-7A") -> DataFram
 
 def list_folder(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Font files of folders, in order: ord, filename, path."""
+    for folder in folders:
+        if not Path(folder).is_dir():
+            warnings.warn(f"no folder {folder}: none of its fonts are listed", stacklevel=2)
     files = [p for d in folders if Path(d).is_dir() for p in sorted(Path(d).iterdir())]
     return spark.createDataFrame([(k, p.name, str(p)) for k, p in enumerate(files)], "ord int, filename string, path string")
 
@@ -48,6 +53,11 @@ def system_fonts(found: DataFrame, folders: tuple[str, ...] = SYSTEM_FOLDERS) ->
     return best.where(~F.col("path").endswith(".ttc")).select("family", "path", "category").unionByName(shared)
 
 
+def installed(spark: SparkSession) -> DataFrame:
+    """The fonts of this machine, wherever they lie: family, path, category."""
+    return system_fonts(list_fonts(spark), ("/",))
+
+
 def noto_fonts(files: DataFrame) -> DataFrame:
     """Noto Sans files, the first of a family."""
     chosen = files.where(F.col("filename").startswith("NotoSans") & F.col("filename").rlike(r"(?i)\.(ttf|otf|ttc)$")).withColumn("family", noto_family(F.col("filename")))

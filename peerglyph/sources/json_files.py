@@ -14,6 +14,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and files.getFileStatus(where).isDirectory()
+
+
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of objects; a file that isn't JSON fails."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -56,6 +56,27 @@ def encode_images(renders: DataFrame) -> DataFrame:
     return renders.select("png", "pixels", "width", "height").mapInPandas(work, "png string, content binary")
 
 
+def write_images(renders: DataFrame, path: str) -> int:
+    """A PNG file under ``path`` for each render; how many were written.
+
+    A file's name tells what it holds, so a task that runs again writes the same file. Where Python can't open
+    the store, keep what ``encode_images`` gives as a table.
+    """
+    import pandas as pd
+    import pyarrow.fs as pafs
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, place = (pafs.LocalFileSystem(), path[len("file://") :]) if path.startswith("file://") else pafs.FileSystem.from_uri(path)
+        store.create_dir(place, recursive=True)
+        for b in batches:
+            for name, content in zip(b.png, b.content, strict=True):
+                with store.open_output_stream(f"{place}/{name}") as file:
+                    file.write(bytes(content))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return encode_images(renders).mapInPandas(work, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def table_lines(rows: DataFrame, widths: dict[str, int], most: int = 50) -> list[str]:
     """Fixed-width lines of the first rows."""
     from ..functions.labels import pad_right

@@ -1,7 +1,7 @@
 """Incremental runs: finished units are skipped, new ones are added once.
 
 A file stream with a checkpoint replaces a log of finished work: each file of work units is taken once,
-a unit's result replaces its own folder, and a run that stops goes on where it stopped.
+a batch's result replaces its own folders, and a run that stops goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import documents, json_files
 from ..sources.sinks import write_unit
 
 
@@ -22,14 +23,15 @@ def remaining(work: DataFrame, finished: DataFrame, keys: list[str]) -> DataFram
 def run_new(spark: SparkSession, inbox: str, schema: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, by: list[str]) -> int:
     """Score every new file of ``inbox`` once and write its units' folders; the rows written.
 
-    A batch that fails halfway is run again on the next call, and replaces what it had written.
+    A unit has a folder for each batch that brought rows of it (column ``batch``), so rows of one unit may come
+    over several runs. A batch that fails halfway is run again on the next call, and replaces what it had written.
     """
     written = [0]
 
-    def store(batch: DataFrame, _: int) -> None:
-        result = score(batch)
-        write_unit(result, out, by)
-        written[0] += result.count()
+    def store(batch: DataFrame, number: int) -> None:
+        write_unit(score(batch).withColumn("batch", F.lit(number)), out, [*by, "batch"])
+        if json_files.exists(spark, out):
+            written[0] += documents.read_score_folder(spark, out).where(F.col("batch") == number).count()  # of the written folders alone
 
     query = spark.readStream.schema(schema).parquet(inbox).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()

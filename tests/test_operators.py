@@ -132,6 +132,9 @@ def test_incremental_runs_take_each_unit_once(spark, tmp_path):
     assert run() == 1
     done = spark.read.parquet(out)
     assert sorted((r.unit, r.rows, r.computed, r.skipped) for r in incremental.counters(done, ["unit"]).collect()) == [("a", 2, 1, 1), ("b", 1, 1, 0)]
+    spark.createDataFrame([("b", 0.1, False), ("b", 0.2, False)], schema).write.mode("append").parquet(inbox)
+    assert run() == 2  # more rows of a unit that a former run has written
+    assert sorted((r.unit, r.rows) for r in incremental.counters(spark.read.parquet(out), ["unit"]).collect()) == [("a", 2), ("b", 3)]
     work = spark.createDataFrame([("a",), ("c",)], "unit string")
     assert [r.unit for r in incremental.remaining(work, done, ["unit"]).collect()] == ["c"]
 
