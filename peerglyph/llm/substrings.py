@@ -6,11 +6,13 @@ so two equal runs always have a block of one under a probe of the other. Windows
 hit are the candidates; an exact count of their whole word sequences (96 bits of hash) extends the hits to
 maximal repeats. All windows are judged on the input.
 
-Texts are dealt to buckets by a hash, about ``bucket_bytes`` in each, so that the number of buckets grows
-with the corpus and no source or group of copies shares one. A bucket sends the sorted, distinct hashes of
+Texts are dealt to buckets by the place where they are read, about ``bucket_bytes`` in each, so that no id, source
+or group of copies shares one; a table of files gives the same places when a task runs again. A bucket sends the sorted, distinct hashes of
 its windows to the owners of hash ranges as differences of a few bytes, with two bits (is a block; occurs
 twice in the bucket), and gets one bit back for each. A run that a million texts share thus costs one
-entry for each bucket that has it, not a pair for each two texts.
+entry for each bucket that has it, not a pair for each two texts. Every bucket sends something to every owner, of
+whom there are as many: their size grows with the square root of the corpus (``bucket_size``), so that what is sent
+grows in number with the corpus and not with its square.
 
 Defined results: a null or empty text has no words; texts with fewer words than a window lose none;
 repeated rows repeat each other's words; a text of any length is read whole (its bucket grows with it);
@@ -20,6 +22,7 @@ an empty table gives an empty result; other columns are passed through (``remove
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from .textkit import column_bytes, mix, row_of, runs, small_batches, span_hashes, window_hashes, window_starts
 
 WINDOW = 35
-BUCKET_BYTES = 4 << 20
+#: Bytes of text in a bucket at least, and of the corpus for each message between buckets and owners.
+BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 1 << 10
 _BLOB = "owner int, bucket int, n int, width int, body binary"
 
 
@@ -206,6 +210,11 @@ class Plan:
         return texts, np.cumsum(cover[:-1]) > 0
 
 
+def bucket_size(corpus_bytes: int) -> int:
+    """Bytes in a bucket: 4 MB up to 17 GB, 32 MB at 1 TB, 320 MB at 100 TB; a task takes about twelve times as much."""
+    return max(BUCKET_BYTES, math.isqrt(corpus_bytes * MESSAGE_BYTES))
+
+
 def _empty(n_columns: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array([], v) for k, v in n_columns.items()})
 
@@ -213,19 +222,19 @@ def _empty(n_columns: dict[str, pa.DataType]) -> pa.Table:
 _NO_ANSWER = {"bucket": pa.int32(), "owner": pa.int32(), "bits": pa.binary()}
 
 
-def _run(docs: DataFrame, finish: Callable[[Texts, np.ndarray, np.ndarray], pa.Table], schema: str, extra: list[str], window: int, bucket_bytes: int) -> DataFrame:
+def _run(docs: DataFrame, finish: Callable[[Texts, np.ndarray, np.ndarray], pa.Table], schema: str, window: int, bucket_bytes: int | None) -> DataFrame:
     """Deal texts out, find covered words, and let ``finish`` make rows of each bucket.
 
-    ``docs`` has t_id, t_text and the columns ``extra``. One plan holds the three passes over the buckets,
+    ``docs`` has t_id, t_text and other columns. One plan holds the three passes over the buckets,
     so that Spark shuffles the texts once and reads that shuffle again.
     """
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("t_text")).alias("n")).first().n or 0
-    buckets = max(1, -(-size // bucket_bytes))
+    buckets = max(1, -(-size // (bucket_bytes or bucket_size(size))))
     #: enough bits that a chance meeting of a window and a block is rare; such meetings cost time only
     bits = min(64, max(24, (max(1, size // 5)).bit_length() + 13))
     plan = Plan(window, buckets, bits)
-    dealt = docs.withColumn("t_bucket", F.pmod(F.xxhash64("t_id", F.octet_length("t_text"), F.substring("t_text", 1, 64)), F.lit(buckets)).cast("int"))
+    dealt = docs.withColumn("t_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     by_bucket = lambda: dealt.groupBy("t_bucket")
 
     def index(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -263,7 +272,7 @@ def _kept_bytes(texts: Texts, gone: np.ndarray, row: int) -> bytes:
     return b" ".join(w for w, g in zip(whole.split(), gone[a:b].tolist(), strict=True) if not g)
 
 
-def measure(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def measure(docs: DataFrame, window: int = WINDOW, bucket_bytes: int | None = None) -> DataFrame:
     """doc_id, words, removed words and SHA-256 of the kept words, for each row of ``docs``."""
 
     def finish(texts: Texts, gone: np.ndarray, row: np.ndarray) -> pa.Table:
@@ -272,10 +281,10 @@ def measure(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BY
         return pa.table({"doc_id": texts.table.column("t_id"), "n_words": pa.array(np.diff(texts.first), pa.int64()), "n_removed": pa.array(np.bincount(row[gone], minlength=n), pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     base = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").alias("t_text"))
-    return _run(base, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", [], window, bucket_bytes)
+    return _run(base, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, bucket_bytes)
 
 
-def spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int | None = None) -> DataFrame:
     """The maximal runs of removed words: doc_id, first word, number of words, and the words' text."""
 
     def finish(texts: Texts, gone: np.ndarray, row: np.ndarray) -> pa.Table:
@@ -288,10 +297,10 @@ def spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTE
         return pa.table({"doc_id": texts.table.column("t_id").take(pa.array(row[begin])), "first_word": pa.array(begin - texts.first[row[begin]], pa.int64()), "n_words": pa.array(end - begin, pa.int64()), "span": pa.array(text, pa.string())})
 
     base = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").alias("t_text"))
-    return _run(base, finish, "doc_id long, first_word long, n_words long, span string", [], window, bucket_bytes)
+    return _run(base, finish, "doc_id long, first_word long, n_words long, span string", window, bucket_bytes)
 
 
-def remove(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, bucket_bytes: int | None = None) -> DataFrame:
     """``docs`` with covered words cut out of ``text`` and n_chars, if present, counted again.
 
     A text that loses nothing stays as it is, to the byte; in others what stands between kept words stays,
@@ -318,4 +327,4 @@ def remove(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYT
         return pa.table(out)
 
     base = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").alias("t_text"), *(F.col(f"`{c}`").alias(f"c_{c}") for c in columns if c != "text"))
-    return _run(base, finish, docs.schema, columns, window, bucket_bytes)
+    return _run(base, finish, docs.schema, window, bucket_bytes)

@@ -78,3 +78,22 @@ def test_packed_keys_come_back():
         width, body = s._pack(keys, 0, drop, flags, b"tail")
         back, marks, extra = s._unpack(1000, width, body)
         assert (back == keys >> np.uint64(drop)).all() and (marks == flags).all() and extra == b"tail"
+
+
+def test_messages_grow_with_the_corpus():
+    for size in (1 << 20, 1 << 30, 30 << 30, 1 << 40, 100 << 40):
+        buckets = max(1, -(-size // s.bucket_size(size)))
+        assert buckets**2 <= max(1, size / s.MESSAGE_BYTES * 1.01) and s.bucket_size(size) <= 400 << 20
+    assert s.bucket_size(1 << 30) == s.BUCKET_BYTES
+
+
+def test_equal_rows_are_dealt_to_many_buckets(spark):
+    """A row without an id that is a third of the table doesn't lie in one bucket; texts are shuffled once."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as doc_id", f"if(id % 3 = 0, '{text}', concat('text ', id)) as text")
+    rows = s.measure(docs, 35, 4000)
+    assert rows.where("doc_id is null and n_removed = 40").count() == 1000 and rows.where("doc_id is not null and n_removed = 0").count() == 2000
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("monotonically_increasing_id") and "t_text" in plan
+    dealt = docs.selectExpr("doc_id", "pmod(xxhash64(monotonically_increasing_id()), 40) as b").where("doc_id is null").groupBy("b").count()
+    assert dealt.agg({"count": "max"}).first()[0] < 80
