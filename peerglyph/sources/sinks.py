@@ -77,6 +77,49 @@ def write_images(renders: DataFrame, path: str) -> int:
     return encode_images(renders).mapInPandas(work, "n long").agg({"n": "sum"}).first()[0] or 0
 
 
+#: Fixed value: pixels left free above the cells of a strip.
+LABEL = 16
+
+
+def strips(cells: DataFrame, side: int = 48) -> DataFrame:
+    """Renders side by side as one grey render each (png, pixels, width, height), for ``encode_images``.
+
+    ``cells`` has png (the strip's name), place (0, 1, ...), and pixels of ``side`` x ``side``, null for a cell that
+    stays white; a strip is as long as the greatest place that any strip of its name has, and has at most some cells.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b["cells"]:
+                image = np.full((side + LABEL, side * len(row)), 255, np.uint8)
+                for k, pixels in enumerate(row):
+                    if pixels is not None:
+                        image[LABEL:, k * side : (k + 1) * side] = np.frombuffer(pixels, np.uint8).reshape(side, side)
+                out.append((image.tobytes(), image.shape[1], image.shape[0]))
+            yield pd.DataFrame({"png": b.png, "pixels": [x[0] for x in out], "width": [x[1] for x in out], "height": [x[2] for x in out]})
+
+    placed = cells.groupBy("png").agg(F.map_from_entries(F.collect_list(F.struct("place", "pixels"))).alias("by"), F.max("place").alias("last"))
+    rows = placed.select("png", F.transform(F.sequence(F.lit(0), "last"), lambda k: F.col("by")[k]).alias("cells"))
+    return rows.mapInPandas(compose, "png string, pixels binary, width int, height int")
+
+
+def triptychs(vectors: DataFrame, renders: DataFrame) -> DataFrame:
+    """A strip for each vector (char, tr39, nfkc) and font: the character and its two readings.
+
+    ``renders`` has ch, font and 48 x 48 pixels.
+    """
+    from ..functions.codepoints import hex_name
+
+    cells = vectors.select("char", F.posexplode(F.array("char", "tr39", "nfkc")).alias("place", "ch"))
+    fonts = vectors.select("char").join(renders.select(F.col("ch").alias("char"), "font"), "char").distinct()
+    wanted = cells.join(fonts, "char")
+    drawn = wanted.join(renders.select("ch", "font", "pixels"), ["ch", "font"], "left")
+    return strips(drawn.select(F.concat(F.lit("U"), hex_name(F.col("char")), F.lit("_"), safe_name(F.col("font")), F.lit(".png")).alias("png"), "place", "pixels"))
+
+
 def table_lines(rows: DataFrame, widths: dict[str, int], most: int = 50) -> list[str]:
     """Fixed-width lines of the first rows."""
     from ..functions.labels import pad_right

@@ -106,3 +106,33 @@ def test_command_line(spark, tmp_path):
     assert "more confusable in Arial" in main(["Arial", "--compare", "Georgia", *files], spark)
     with pytest.raises(SystemExit):
         main(files, spark)
+
+
+def test_scripts_on_the_command_line(spark, index, tmp_path):
+    script = F.when(F.col("ch") > "z", "Cyrillic").when(F.col("ch") < "f", "Latin").otherwise("Other")
+    index.withColumn("script", script).write.parquet(f"file://{tmp_path}/index")
+    given = ["scripts", "--index", f"file://{tmp_path}/index", "--out", f"file://{tmp_path}/out"]
+    assert main([*given, "--dry-run"], spark).split("\n") == ["Cyrillic Latin", "Cyrillic Other", "Latin Other"]
+    assert main([*given, "--dry-run", "--script", "Other"], spark).split("\n") == ["Cyrillic Other", "Latin Other"]
+    assert main([*given, "--pair", "Latin", "Cyrillic"], spark) == "Cyrillic Latin"
+    found = spark.read.parquet(f"file://{tmp_path}/out")
+    assert {(r.script_a, r.script_b) for r in found.collect()} == {("Cyrillic", "Latin")} and found.where("source = 'а' and target = 'a'").count()
+    assert main([*given, "--dry-run"], spark).split("\n") == ["Cyrillic Other", "Latin Other"]
+    assert main([*given, "--dry-run", "--fresh"], spark).split("\n")[0] == "Cyrillic Latin"
+    with pytest.raises(SystemExit):
+        main(["--list-fonts"], spark)
+
+
+def test_runs_on_the_command_line(spark, tmp_path):
+    (tmp_path / "r" / "m1").mkdir(parents=True)
+    for run in (1, 2):
+        (tmp_path / f"r/m1/run-{run}.json").write_text(json.dumps({"model": "m1", "variant": "clean", "run": run, "content": "text", "error": None}))
+    (tmp_path / "v").mkdir()
+    for name in ("a-clean.txt", "a-flood.txt", "b-clean.txt"):
+        (tmp_path / "v" / name).write_text("x")
+    given = ["runs", "--results", f"file://{tmp_path}/r", "--variants", f"file://{tmp_path}/v", "--times", "2"]
+    assert main([*given, "--models", "m2"], spark).split("\n") == ["m1 flood 1", "m1 flood 2", "m2 clean 1", "m2 clean 2", "m2 flood 1", "m2 flood 2"]
+    assert main([*given, "--models", "m2", "--suite", "b", "--model", "2"], spark).split("\n") == ["m2 clean 1", "m2 clean 2"]
+    (tmp_path / "s.jsonl").write_text(json.dumps({"model": "m1", "variant": "clean", "run": 1}) + "\n")
+    scored = ["unscored", "--results", f"file://{tmp_path}/r", "--scores", f"file://{tmp_path}/s.jsonl"]
+    assert main(scored, spark) == "m1 clean 2" and main([*scored, "--rescore"], spark) == "m1 clean 1\nm1 clean 2"

@@ -157,3 +157,22 @@ def test_measured_renders(spark):
     got = {r.ch: r for r in px.measure(rows).collect()}
     assert (got["bar"].ink_w, got["bar"].ink_h) == (4, 40) and got["blank"].ink_w is None and got["none"].phash is None
     assert px.normalise_renders(rows).where("ch = 'bar'").first().width == 48
+
+
+def test_stacks_give_what_single_renders_give():
+    """Pairs and renders of many sizes at once, against one at a time; blanks among them."""
+    rng = np.random.default_rng(12)
+    images = []
+    for k in range(40):
+        h, w = [(64, 64), (64, 128), (32, 40)][k % 3]
+        image = np.full((h, w), 255, np.uint8)
+        if k % 7:
+            y, x = rng.integers(0, h - 8), rng.integers(0, w - 8)
+            image[y : y + rng.integers(1, 20), x : x + rng.integers(1, 20)] = rng.integers(0, 200)
+        images.append(image)
+    a, b = rng.integers(0, 40, 120), rng.integers(0, 40, 120)
+    left, right = px.normalise_pairs(images, a, b)
+    for k in range(120):
+        one, two = px.normalise_pair(images[a[k]], images[b[k]])
+        assert (left[k] == one).all() and (right[k] == two).all()
+    assert all((x == px.normalise(y)).all() for x, y in zip(px.normalise_all(images), images, strict=True))

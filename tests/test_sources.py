@@ -90,6 +90,31 @@ def test_images(spark, tmp_path):
     assert bytes(encoded.content) == encode_png(image.tobytes(), 4, 3)
 
 
+def test_strips_of_renders(spark, tmp_path):
+    cell = lambda v: np.full((48, 48), v, np.uint8).tobytes()
+    rendered = spark.createDataFrame([("а", "My Font", cell(10)), ("a", "My Font", cell(20)), ("а", "B", cell(30))], "ch string, font string, pixels binary")
+    vectors = spark.createDataFrame([("а", "a", "x")], "char string, tr39 string, nfkc string")
+    found = {r.png: r for r in sinks.triptychs(vectors, rendered).collect()}
+    assert set(found) == {"U430_My-Font.png", "U430_B.png"} and {(r.width, r.height) for r in found.values()} == {(144, 64)}
+    image = np.frombuffer(found["U430_My-Font.png"].pixels, np.uint8).reshape(64, 144)
+    assert (image[:16] == 255).all() and (image[16:, :48] == 10).all() and (image[16:, 48:96] == 20).all() and (image[16:, 96:] == 255).all()
+    assert sinks.write_images(sinks.triptychs(vectors, rendered), f"file://{tmp_path}/strips") == 2
+    assert (renders.decode_png((tmp_path / "strips" / "U430_B.png").read_bytes())[16:, :48] == 30).all()
+
+
+def test_files_are_fetched_once(tmp_path):
+    from peerglyph.sources.fetch import ensure_file
+
+    (tmp_path / "there.txt").write_text("one")
+    url = f"file://{tmp_path}/there.txt"
+    path = ensure_file(url, str(tmp_path / "kept"))
+    (tmp_path / "there.txt").write_text("two")
+    assert ensure_file(url, str(tmp_path / "kept")) == path and open(path).read() == "one"
+    with pytest.raises(OSError):
+        ensure_file(f"file://{tmp_path}/none.txt", str(tmp_path / "kept"))
+    assert [p.name for p in (tmp_path / "kept").iterdir()] == ["there.txt"]
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     document = json.loads(sinks.to_document({"x": 1}, rows))
