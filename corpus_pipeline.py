@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run`` writes what
 a stage returns as a table in the shared folder, and the next stage reads that, so a lost executor never
 costs more than the stage at work. All stages but the last return the columns of documents.
+
+Defined results: a null or empty text fails the base rules, so that the first stage drops it; later stages, given
+such a text, keep it as it is (near-dedup: one of them, as they are equal). Nulls in other columns are kept. A text
+of any length is read whole. Of equal rows one stays after near-dedup; ties go to the smallest doc_id, and rows
+without one all stay. An empty table gives an empty table. Further columns are passed on, whatever their names, by
+all stages but the last, which keeps doc_id, lang and source.
 """
 
 from __future__ import annotations

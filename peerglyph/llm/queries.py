@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, pieces, quality, simhash, substrings, tokenfiles, toxicity, urlfilter, warc
+from . import decontaminate, htmltext, pieces, quality, ranges, simhash, substrings, tokenfiles, toxicity, urlfilter, warc
+from .storage import materialise, new_path
 
 #: A public BPE model of SentencePiece; executors get its pieces from the driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -52,6 +54,24 @@ select page_id, cast(n as bigint) as payload_bytes, b as payload_digest,
 from d
 """
 
+@query
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages come back from archives in which every fiftieth record is broken, and whether the log of gaps and the
+    records found account for every byte."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = new_path(spark, "warc-broken")
+    broken = F.regexp_replace("value", "Content-Length: ", "Content-Length= ")
+    warc.write_records(warc.records(pages).withColumn("value", F.when(F.col("page_id") % 50 == 7, broken).otherwise(F.col("value"))), path)
+    found, _ = materialise(warc.read_archive(spark, path, 1 << 20).select("reason", "length", F.col("page_id").alias("found_id")), "warc-found")
+    sizes = ranges.files(spark, path).agg(F.sum("size").alias("size"))
+    told = found.agg(F.sum("length").alias("told"), F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("length"))), F.lit(0)).alias("lost"))
+    back = found.where("reason is null").select("found_id").distinct()
+    rows = pages.select("page_id").join(back, pages.page_id == back.found_id, "left").select("page_id", F.col("found_id").isNotNull().alias("recovered"))
+    return rows.crossJoin(F.broadcast(sizes.crossJoin(told).select((F.col("size") == F.col("told")).alias("accounted"), (F.col("lost") > 0).alias("logged"))))  # one row
+
+
+ORACLE_SQL["warc_salvage"] = "select page_id, page_id % 50 <> 7 as recovered, true as accounted, (select count(*) > 0 from pages where page_id % 50 = 7) as logged from pages"
+
 #: Fixed rules of the query: verdict, host, path.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 

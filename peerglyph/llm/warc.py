@@ -49,13 +49,13 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*(F.lpad(F.conv(F.substring(digest, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31))), HEX32, BASE32)
 
 
-def write_archive(pages: DataFrame, path: str, min_payload: int = 0, records_per_file: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a record for each row of ``pages`` (page_id, url, html) as uncompressed WARC files under ``path``."""
+def records(pages: DataFrame, min_payload: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """page_id and the record (value), without the separator after it, of each row of ``pages`` (page_id, url, html)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("n"), sha1_base32(payload).alias("digest"))
     # of payloads that occur twice or more, the first page; small, and written so that a hot payload's join can be split
     shared = rows.where(F.col("n") >= min_payload).groupBy(F.col("digest").alias("s_digest")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("times")).where("times > 1 and first_page is not null").drop("times")
-    firsts, scratch = materialise(shared, "warc-firsts")
+    firsts, _ = materialise(shared, "warc-firsts")
     revisit = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     uri = F.translate("url", CRLF, "")
     name = lambda page: F.regexp_replace(F.md5(F.concat(F.lit("page:"), F.coalesce(page.cast("string"), F.lit("none")))), "(.{8})(.{4})(.{4})(.{4})(.{12})", "<urn:uuid:$1-$2-$3-$4-$5>")
@@ -69,8 +69,17 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, records_per
         line("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF),
     )
     marked = rows.join(firsts, (rows.digest == firsts.s_digest) & (rows.n >= min_payload), "left")
-    marked.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
-    drop(pages.sparkSession, scratch)
+    return marked.select("page_id", F.concat(head, block).alias("value"))
+
+
+def write_records(rows: DataFrame, path: str, records_per_file: int = 1000) -> None:
+    """Records (value) as uncompressed WARC files under ``path``."""
+    rows.select("value").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def write_archive(pages: DataFrame, path: str, min_payload: int = 0, records_per_file: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Write a record for each row of ``pages`` (page_id, url, html) as uncompressed WARC files under ``path``."""
+    write_records(records(pages, min_payload, date), path, records_per_file)
 
 
 @dataclass

@@ -5,6 +5,7 @@ import corpus_pipeline as cp
 import pytest
 import sentencepiece
 
+from common import awkward
 from oracle import assert_same, connect
 from peerglyph.llm import quality, queries
 from test_decontaminate import distance, words
@@ -60,6 +61,22 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
         assert out.columns == COLUMNS and out.dtypes == docs.dtypes
 
 
+def test_stages_on_awkward_rows(spark, sf_dir):
+    """Nulls in any column, empty and long texts, ties, repeated rows, and columns with names that operators use."""
+    docs = awkward(spark)
+    want = {
+        "quality_rules": [],  # none of them has 20 words that aren't repeated
+        "simhash_dedup": ["1", "2", "5", "6", "7", "8", "None"],
+        "substring_dedup": ["1", "2", "3", "4", "5", "6", "7", "7", "8", "None"],
+        "benchmark_decontamination": ["1", "2", "3", "4", "5", "6", "7", "7", "8", "None"],
+        "sentencepiece": ["1", "2", "3", "4", "5", "6", "7", "7", "8", "None"],
+    }
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert sorted(str(r.doc_id) for r in out.collect()) == want[name], name
+        assert out.columns == (docs.columns if name != "sentencepiece" else ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"])
+
+
 def test_stages_on_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:

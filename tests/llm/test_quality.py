@@ -132,6 +132,48 @@ def test_one_text_is_read_for_an_id(spark):
     assert (a.emission == b.emission).all() and a.emission.any()
 
 
+def line_features(line, earlier):
+    raw = line.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    size, n = max(1, len(raw)), max(1, len(words))
+    share = lambda test: sum(map(test, raw)) / size
+    repeated = bool(words) and line in earlier
+    return [1, min(1, 5 * share(lambda c: chr(c) in "#*$%&|<>")), min(1, 5 * share(lambda c: c == 33)), share(lambda c: 65 <= c <= 90), min(1, 8 * share(lambda c: c == 124)), share(lambda c: 48 <= c <= 57), len(words) < 4, min(1, size / n / 20), repeated], len(words)
+
+
+def plain_verdict(text, m):
+    """Features, Viterbi and the share of content words, line by line."""
+    score, back, counts, earlier = None, [], [], set()
+    for line in (text or "").split("\n"):
+        x, n = line_features(line, earlier)
+        earlier.add(line)
+        emit = [sum(float(np.float32(v)) * m.emission[k, s] for k, v in enumerate(x)) for s in (0, 1)]
+        if score is None:
+            score = [m.start[s] + emit[s] for s in (0, 1)]
+        else:
+            back.append([int(score[1] + m.transition[1, s] > score[0] + m.transition[0, s]) for s in (0, 1)])
+            score = [max(score[a] + m.transition[a, s] for a in (0, 1)) + emit[s] for s in (0, 1)]
+        counts.append(n)
+    state, content = int(score[1] > score[0]), 0
+    for t in range(len(counts) - 1, -1, -1):
+        content += counts[t] * (state == 0)
+        state = back[t - 1][state] if t else state
+    return content / max(1, sum(counts)) >= m.content_share
+
+
+def test_the_whole_query_against_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    m = q.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = q.judge(docs, m).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        *counts, failed = base(texts[r.doc_id])
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed] == [*counts, failed]
+        assert r.kept == (not failed and plain_verdict(texts[r.doc_id], m)), r.doc_id
+    assert 0 < sum(r.kept for r in rows) < sum(not r.base_failed for r in rows)
+
+
 def test_learns_junk_lines_from_document_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     m = q.fit(docs, labels)
