@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, materialise
-from .textkit import column_bytes, map_text, mix, row_of, runs, span_hashes, window_hashes
+from .textkit import column_bytes, lean, map_text, mix, row_of, runs, span_hashes, window_hashes
 
 SEGMENTS, WIDTH, RADIUS, SEED = 16, 4, 2, 42
 #: Rows of a cell that are compared in it, and links that a task holds at once.
@@ -236,15 +236,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             for key, now in _split(cell, fp, fixed):
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(fp), _signed(now)], ["cell", "fp", "fixed"])
 
-    placed, found = distinct.select("fp").mapInArrow(spread, "cell long, fp long, fixed long"), None
+    placed, found = distinct.select("fp").mapInArrow(lean(spread), "cell long, fp long, fixed long"), None
     while True:
-        out, _ = materialise(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _link(it, radius), "u long, v long, cell long, fixed long"), "links")
+        out, _ = materialise(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(lambda it: _link(it, radius)), "u long, v long, cell long, fixed long"), "links")
         edges, large = out.where("v is not null").select("u", "v"), out.where("v is null")
         found = edges if found is None else found.unionByName(edges)
         if large.isEmpty():
             return found
         # distinct fingerprints with twelve free bits are at most 4,096; before that a group can be large again
-        placed = large.select("u", "cell", "fixed").mapInArrow(again, "cell long, fp long, fixed long")
+        placed = large.select("u", "cell", "fixed").mapInArrow(lean(again), "cell long, fp long, fixed long")
 
 
 def _with_smallest(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -427,7 +427,7 @@ def _placed(classes: DataFrame) -> DataFrame:
                     other = (fps[(k + 1) % TABLES] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                     yield pa.RecordBatch.from_arrays([_signed(mix(cell + mix(np.array([k + 1], np.uint64)))), pa.array(np.arange(len(cell)) < len(fp)), _signed(fp[row]), pa.array(other[row]), pa.array(sid[row]), pa.array(np.zeros(len(row), np.int64))], schema=_PLACED)
 
-    return classes.select("sid", *(f"f{k}" for k in range(TABLES))).mapInArrow(spread, PLACED)
+    return classes.select("sid", *(f"f{k}" for k in range(TABLES))).mapInArrow(lean(spread), PLACED)
 
 
 def _may(fp: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -555,7 +555,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     sets, _ = materialise(map_text(_texts(wanted, classes, rows), "text", make, "sid long, held binary").groupBy("sid").agg(F.min("held").alias("held")), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(verify), "u long, v long")
 
 
 def similar(rows: DataFrame) -> DataFrame:
@@ -575,12 +575,12 @@ def _near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (u, v) among texts that connect all that meet in a cell and are similar."""
     placed, pairs, crowds = _placed(classes), None, None
     while True:
-        met, _ = materialise(placed.repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(_meet, MET), "met")
+        met, _ = materialise(placed.repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(lean(_meet), MET), "met")
         now, crowd, large = met.where("b is not null").select("a", "b"), met.where("b is null and not large"), met.where("large")
         pairs, crowds = (now, crowd) if pairs is None else (pairs.unionByName(now), crowds.unionByName(crowd))
         if large.isEmpty():
             break
-        placed = large.mapInArrow(_again, PLACED)
+        placed = large.mapInArrow(lean(_again), PLACED)
     tried, _ = materialise(pairs.distinct(), "pairs")
     found, _ = materialise(_compared(tried, classes, rows), "links")
     if crowds.isEmpty():
@@ -601,7 +601,7 @@ def _near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
         else:
             roots = connect(found)
             rooted = some.join(roots, some.sid == roots.node, "left").withColumn("root", F.coalesce("root", "sid"))
-        met = rooted.select("cell", "fp", "other", "sid", "root", "sketch").repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(work, MET)
+        met = rooted.select("cell", "fp", "other", "sid", "root", "sketch").repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(lean(work), MET)
         now, _ = materialise(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if now.isEmpty():
             continue

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import column_bytes, mix, row_of, runs, small_batches, span_hashes, window_hashes, window_starts
+from .textkit import column_bytes, mix, row_of, runs, small_batches, span_hashes, trim, window_hashes, window_starts
 
 WINDOW = 35
 #: Bytes of text in a bucket at least, and of the corpus for each message between buckets and owners.
@@ -256,6 +256,7 @@ def _run(docs: DataFrame, finish: Callable[[Texts, np.ndarray, np.ndarray], pa.T
     answers = hits.withColumn("step", F.lit(1)).unionByName(repeats.withColumn("step", F.lit(2)))
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+        trim()  # what the steps before have freed
         steps = found.column("step").to_numpy()
         texts, gone = plan.covered(table, found.filter(pa.array(steps == 1)), found.filter(pa.array(steps == 2)))
         return finish(texts, gone, np.repeat(np.arange(table.num_rows), np.diff(texts.first)))

@@ -7,6 +7,7 @@ from prefix sums, so that one pass over the bytes serves every word or window.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ BATCH_ROWS = 1024
 _SPAN = 1 << 18  # bytes hashed at once
 _STRETCH = 1 << 20  # bytes or words looked at once
 
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything but ASCII letters, digits and the bytes of other letters.
@@ -210,6 +213,25 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(a, b - a)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system; the next task in this worker may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that trims memory when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let the session send at most ``BATCH_ROWS`` rows at once to Python; texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -226,4 +248,4 @@ def map_text(df: DataFrame, column: str, make: Callable[[pa.RecordBatch], pa.Rec
                 yield make(part)
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(lean(work), schema)
