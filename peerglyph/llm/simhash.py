@@ -435,8 +435,12 @@ def _may(fp: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
 
 
 def _pairs_of(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """The pairs of rows a and b, each once, as MET."""
-    pairs = np.unique(np.stack([np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])], axis=1), axis=0)
+    return _pairs(sid[a], sid[b])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The pairs of two lists of sids, each once, as MET."""
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     n = len(pairs)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(n, bool)), *(pa.nulls(n, f.type) for f in list(_MET)[3:])], schema=_MET)
 
@@ -509,29 +513,39 @@ def _neighbours(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[pa.Re
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs in a cell that may be near and aren't linked: rows outside its largest component against all."""
-    for _, columns in _groups(batches, 1 << 62):
-        cell, fp, other, sid, root, sketch = _sketched(columns)
-        bounds = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            here, first = np.unique(root[low:high], return_inverse=True)
-            if len(here) == 1:
-                continue
-            main = int(np.argmax(np.bincount(first)))
-            found, total = [], 0
-            for k in (np.flatnonzero(first != main) + low).tolist():
-                to = np.arange(low, high)
-                to = to[(root[low:high] != root[k]) & ((to > k) | (first == main))]
-                to = to[_may(fp, other, np.full(len(to), k), to)]
-                to = to[_alike(sketch, np.full(len(to), k), to)]
-                if len(to):
-                    found.append((np.full(len(to), k), to))
-                    total += len(to)
-                if total > 1 << 17:
-                    yield _pairs_of(sid, *(np.concatenate(x) for x in zip(*found, strict=True)))
-                    found, total = [], 0
-            if found:
-                yield _pairs_of(sid, *(np.concatenate(x) for x in zip(*found, strict=True)))
+    """All pairs in a cell that may be near and aren't linked.
+
+    Rows come sorted by cell, those outside the cell's largest component first. These are held; the others pass by
+    and are compared with them, so that memory doesn't grow with the component that copies make.
+    """
+    cell, held = None, None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        bounds = np.append(np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])), batch.num_rows) if batch.num_rows else [0]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            key, main, fp, other, sid, root, sketch = (c[low:high] for c in columns)
+            part = [fp, other, sid, root, np.frombuffer(b"".join(sketch.tolist()), np.uint64).reshape(high - low, -1)]
+            if key[0] != cell:
+                cell, held = key[0], [c[:0] for c in part]
+            outside = [c[~main] for c in part]
+            yield from _between(outside, held)
+            yield from _between(outside, outside)
+            held = [np.concatenate(x) for x in zip(held, outside, strict=True)]
+            yield from _between([c[main] for c in part], held)
+
+
+def _between(some: list[np.ndarray], others: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (fp, other, sid, root, sketch) of two lists that may be near and aren't linked."""
+    for low in range(0, len(some[0]), 256):
+        for at in range(0, len(others[0]), 1 << 12):
+            fp, other, sid, root, sketch = (c[low : low + 256] for c in some)
+            with_fp, with_other, with_sid, with_root, with_sketch = (c[at : at + (1 << 12)] for c in others)
+            a, b = np.nonzero((np.bitwise_count(_unsigned(fp)[:, None] ^ _unsigned(with_fp)) <= RADIUS) & (root[:, None] != with_root))
+            ok = np.bitwise_count(other[a] ^ with_other[b]) <= OTHER_BITS
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(sketch[a] ^ with_sketch[b]).sum(axis=1) <= SKETCH_BITS
+            if ok.any():
+                yield _pairs(sid[a[ok]], with_sid[b[ok]])
 
 
 def _texts(wanted: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -601,7 +615,13 @@ def _near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
         else:
             roots = connect(found)
             rooted = some.join(roots, some.sid == roots.node, "left").withColumn("root", F.coalesce("root", "sid"))
-        met = rooted.select("cell", "fp", "other", "sid", "root", "sketch").repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(lean(work), MET)
+        if step < 2:
+            met = rooted.select("cell", "fp", "other", "sid", "root", "sketch").repartition("cell").sortWithinPartitions("cell", "fp", "sid").mapInArrow(lean(work), MET)
+        else:
+            sizes = rooted.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+            open_cells = sizes.where("roots > 1").select(F.col("cell").alias("o_cell"), F.col("most.root").alias("main"))
+            rows_left = rooted.join(open_cells, rooted.cell == open_cells.o_cell).select("cell", (F.col("root") == F.col("main")).alias("main"), "fp", "other", "sid", "root", "sketch")
+            met = rows_left.repartition("cell").sortWithinPartitions("cell", "main", "sid").mapInArrow(lean(work), MET)
         now, _ = materialise(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if now.isEmpty():
             continue
