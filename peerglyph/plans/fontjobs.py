@@ -11,6 +11,7 @@ from ..operators import experiments as exp
 from ..operators import fontquery as fq
 from ..operators import summaries as summ
 from ..sources import fonts as fnt
+from ..sources import scratch
 from . import scorejobs as score
 from .catalog import query, table
 
@@ -89,7 +90,7 @@ def N01_query_font(spark, sf_dir):
 
 @query(score.BASE + NAMED + HIT.format("a", "f1") + HIT.format("b", "f2") + " select coalesce(a.source, b.source) as source, coalesce(a.target, b.target) as target, round(a.ssim, 6) as ssim_a, round(b.ssim, 6) as ssim_b, round(a.ssim - b.ssim, 6) as delta, round(coalesce(abs(a.ssim - b.ssim), a.ssim, b.ssim), 6) as abs_delta, case when b.ssim is null then 'F1 only' when a.ssim is null then 'F2 only' when a.ssim - b.ssim > 0.01 then 'more confusable in F1' when a.ssim - b.ssim < -0.01 then 'more confusable in F2' else '' end as note from a full join b on a.source = b.source and a.target = b.target")
 def J14_compare_fonts(spark, sf_dir):
-    facts = _facts(spark, sf_dir)
+    facts, _ = scratch.keep(_facts(spark, sf_dir), "facts")  # both fonts are asked about
     return score._round(fq.compare_fonts(_query(facts, "f1"), _query(facts, "f2"), "F1", "F2"), "ssim_a", "ssim_b", "delta", "abs_delta")
 
 
