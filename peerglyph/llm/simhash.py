@@ -88,12 +88,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", work, "doc_id long, fp long")
 
 
-def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of each fingerprint's point and of its neighbours one step away, and the row of each."""
+def points(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bit counts of each fingerprint's segments, and these as one number."""
     counts = np.stack([np.bitwise_count((fps >> np.uint64(WIDTH * k)) & np.uint64(2**WIDTH - 1)) for k in range(SEGMENTS)]).astype(np.uint64)
     code = np.zeros(len(fps), np.uint64)
     for k in range(SEGMENTS):
         code |= counts[k] << np.uint64(3 * k)
+    return counts, code
+
+
+def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of each fingerprint's point and of its neighbours one step away, and the row of each."""
+    counts, code = points(fps)
     rows = np.arange(len(fps))
     out, of = [code], [rows]
     for k in range(SEGMENTS):
@@ -434,6 +440,16 @@ def _may(fp: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
     return (np.bitwise_count(_unsigned(fp)[a] ^ _unsigned(fp)[b]) <= RADIUS) & (np.bitwise_count(other[a] ^ other[b]) <= OTHER_BITS)
 
 
+def _own(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether pairs of rows (home, code, sid) belong to the cell where they meet, of the cells that they share.
+
+    Rows of one point share 33 cells, and belong to their own; points one step apart share each other's, and belong
+    to that of the lesser number; others share one or two.
+    """
+    (home, code, sid), (with_home, with_code, with_sid) = a, b
+    return np.where(home & with_home, True, np.where(home, sid < with_sid, np.where(with_home, with_sid < sid, code != with_code)))
+
+
 def _pairs_of(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return _pairs(sid[a], sid[b])
 
@@ -463,11 +479,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         number = np.cumsum(np.append(True, cell[1:] != cell[:-1])) - 1
         size = np.bincount(number)
+        known = [home, points(_unsigned(fp))[1], sid]
         met, crowded = [], np.zeros(len(size), bool)
         count = np.zeros(len(size), np.int64)
         for at, step in _offsets(cell):
             at = at[~crowded[number[at]]]
             at = at[_may(fp, other, at, at + step)]
+            at = at[_own([x[at] for x in known], [x[at + step] for x in known])]
             if len(at):
                 count += np.bincount(number[at], minlength=len(size))
                 crowded |= count > 4 * size
@@ -523,8 +541,8 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         bounds = np.append(np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])), batch.num_rows) if batch.num_rows else [0]
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            key, main, fp, other, sid, root, sketch = (c[low:high] for c in columns)
-            part = [fp, other, sid, root, np.frombuffer(b"".join(sketch.tolist()), np.uint64).reshape(high - low, -1)]
+            key, main, home, fp, other, sid, root, sketch = (c[low:high] for c in columns)
+            part = [fp, other, sid, root, np.frombuffer(b"".join(sketch.tolist()), np.uint64).reshape(high - low, -1), home, points(_unsigned(fp))[1]]
             if key[0] != cell:
                 cell, held = key[0], [c[:0] for c in part]
             outside = [c[~main] for c in part]
@@ -535,13 +553,14 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _between(some: list[np.ndarray], others: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (fp, other, sid, root, sketch) of two lists that may be near and aren't linked."""
+    """Pairs of rows (fp, other, sid, root, sketch, home, code) of two lists that may be near and aren't linked."""
     for low in range(0, len(some[0]), 256):
         for at in range(0, len(others[0]), 1 << 12):
-            fp, other, sid, root, sketch = (c[low : low + 256] for c in some)
-            with_fp, with_other, with_sid, with_root, with_sketch = (c[at : at + (1 << 12)] for c in others)
+            fp, other, sid, root, sketch, home, code = (c[low : low + 256] for c in some)
+            with_fp, with_other, with_sid, with_root, with_sketch, with_home, with_code = (c[at : at + (1 << 12)] for c in others)
             a, b = np.nonzero((np.bitwise_count(_unsigned(fp)[:, None] ^ _unsigned(with_fp)) <= RADIUS) & (root[:, None] != with_root))
             ok = np.bitwise_count(other[a] ^ with_other[b]) <= OTHER_BITS
+            ok &= _own([home[a], code[a], sid[a]], [with_home[b], with_code[b], with_sid[b]])
             a, b = a[ok], b[ok]
             ok = np.bitwise_count(sketch[a] ^ with_sketch[b]).sum(axis=1) <= SKETCH_BITS
             if ok.any():
@@ -620,7 +639,7 @@ def _near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
         else:
             sizes = rooted.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
             open_cells = sizes.where("roots > 1").select(F.col("cell").alias("o_cell"), F.col("most.root").alias("main"))
-            rows_left = rooted.join(open_cells, rooted.cell == open_cells.o_cell).select("cell", (F.col("root") == F.col("main")).alias("main"), "fp", "other", "sid", "root", "sketch")
+            rows_left = rooted.join(open_cells, rooted.cell == open_cells.o_cell).select("cell", (F.col("root") == F.col("main")).alias("main"), "home", "fp", "other", "sid", "root", "sketch")
             met = rows_left.repartition("cell").sortWithinPartitions("cell", "main", "sid").mapInArrow(lean(work), MET)
         now, _ = materialise(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if now.isEmpty():
