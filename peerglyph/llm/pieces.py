@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from .textkit import map_text
 
 MARK = "▁"
-MOST_REMEMBERED, LONGEST_REMEMBERED, MOST_NEIGHBOURS = 240_000, 64, 200_000
+MOST_REMEMBERED, LONGEST_REMEMBERED, MOST_NEIGHBOURS = 240_000, 64, 300_000
 _PANE = 4096  # characters that are looked at together
 _END = "\U0010ffff"  # no piece holds this
 UNKNOWN_PENALTY = 10.0
@@ -271,7 +272,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+        self.kind, self.code = (np.uint16, "H") if len(vocabulary) <= 1 << 16 else (np.uint32, "I")
         self.whole, self.fine = (re.compile(x, re.S).findall for x in (vocabulary.segments, vocabulary.fine_segments))
         self.beside = re.compile(vocabulary.beside).search if vocabulary.beside else lambda _: False
         self.older: dict[str, bytes] = {}
@@ -279,7 +280,7 @@ class Encoder(dict):
     def __missing__(self, segment: str) -> bytes:
         ids = self.older.get(segment)
         if ids is None:
-            ids = np.array(encode_segment(segment, self.vocabulary), self.kind).tobytes()
+            ids = array(self.code, encode_segment(segment, self.vocabulary)).tobytes()
         if len(segment) <= LONGEST_REMEMBERED:
             if len(self) >= MOST_REMEMBERED // 2:
                 self.older = dict(self)
