@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .textkit import map_text
 
 MARK = "▁"
-MOST_REMEMBERED, LONGEST_REMEMBERED, MOST_NEIGHBOURS = 240_000, 64, 300_000
+MOST_REMEMBERED, LONGEST_REMEMBERED, MOST_NEIGHBOURS = 600_000, 64, 400_000
 _PANE = 4096  # characters that are looked at together
 _END = "\U0010ffff"  # no piece holds this
 UNKNOWN_PENALTY = 10.0
