@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import map_text
+from .textkit import REMEMBERED, map_text
 
 MARK = "▁"
 MOST_REMEMBERED, LONGEST_REMEMBERED, MOST_NEIGHBOURS = 600_000, 64, 400_000
@@ -302,6 +302,7 @@ class Encoder(dict):
 
 
 _encoders: dict[int, Encoder] = {}  # of this worker process: that of the vocabulary in use
+REMEMBERED.append(_encoders)
 
 
 def _encoder(vocabulary: Vocabulary) -> Encoder:
@@ -336,7 +337,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
 
     base = docs.select(*(F.col(f"`{c}`").alias(f"c_{c}") for c in keep), F.col("text").alias("t_text"))
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
-    return map_text(base, "t_text", work, schema)
+    return map_text(base, "t_text", work, schema, remembers=True)
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -220,10 +220,21 @@ def trim() -> None:
         _MALLOC_TRIM(0)
 
 
-def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` that trims memory when it ends."""
+#: What modules remember from task to task of one kind; tasks of another kind clear it.
+REMEMBERED: list[dict] = []
+
+
+def forget() -> None:
+    for one in REMEMBERED:
+        one.clear()
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that trims memory when it ends, and before it begins forgets what other work remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         try:
             yield from work(batches)
         finally:
@@ -239,7 +250,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def map_text(df: DataFrame, column: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+def map_text(df: DataFrame, column: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema, remembers: bool = False) -> DataFrame:
     """``make`` of every slice of the frame; rows stay where they are."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,4 +259,4 @@ def map_text(df: DataFrame, column: str, make: Callable[[pa.RecordBatch], pa.Rec
                 yield make(part)
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(lean(work), schema)
+    return df.mapInArrow(lean(work, remembers), schema)
